@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PASS) -> Iter
 def let(value: Column, body) -> Column:
     """``body`` of ``value`` evaluated once: a lambda variable is bound, so the planner can't repeat the expression."""
     return F.transform(F.array(value), body)[0]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, slope: float = 1.0, offset: float = 0.0) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic fit (Newton steps, small ridge); targets are drawn in from 0 and 1."""
+    w = np.ones(len(y)) if weight is None else weight
+    y = np.clip(y, 0.5 / len(y), 1 - 0.5 / len(y))
+    a, b = slope, offset
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        v = w * p * (1 - p) + 1e-9
+        grad = np.array([(w * (p - y) * x).sum() + 1e-3 * a, (w * (p - y)).sum() + 1e-3 * b])
+        hess = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(a), float(b)

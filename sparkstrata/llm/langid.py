@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, logistic, slices
 
 SAMPLE_PER_LANGUAGE = 300
 ORDER = 4
@@ -197,17 +197,7 @@ def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
     if not lead:
         return model
     x, y = np.array(lead), np.array(right, float)
-    y = np.clip(y, 0.5 / len(y), 1 - 0.5 / len(y))
-    a, b = 20.0, 0.0
-    for _ in range(200):  # Newton steps with a ridge; few rows
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        grad = np.array([((p - y) * x).sum() + 1e-3 * a, (p - y).sum() + 1e-3 * b])
-        hess = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        step = np.clip(np.linalg.solve(hess, grad), -5, 5)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
+    a, b = logistic(x, y, slope=20.0)
     model.slope, model.offset = max(float(a), 0.0), float(b)
     model.limit = np.array([np.quantile(h, ACCEPT) * SLACK if h else np.inf for h in own])
     return model

@@ -2,7 +2,7 @@
 
 Three machines are compiled from a model file. The normaliser writes a space as the word mark and puts one mark in
 front. The piece machine is a trie that reads characters and writes piece ids; byte fallback adds, for every character,
-an arc that writes its UTF-8 bytes. An input is composed with them on the fly: states are (place, last piece), weights
+an arc that writes its UTF-8 bytes. An input is composed with them on the fly: states are places (with the piece that led there), weights
 live in the tropical semiring (sum along a path, least over paths), and the shortest path is the encoding.
 
 Unigram models weigh an arc by the piece's negative log-probability. For BPE models the weights alone can't repeat the
@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_or_empty
 
@@ -33,7 +35,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bound of the compiled tables' size that may be broadcast; a vocabulary is fixed, it doesn't grow with the data.
 MAX_MODEL_BYTES = 64_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 CACHE_CHARS = 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
@@ -95,10 +97,18 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == _BYTE}
         self.longest = max(map(len, self.ids), default=1)
         self.cuts = not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in self.ids)
-        self.chunk = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+") if self.cuts else re.compile("(?s).+")
-        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # A chunk may also end between a letter and a sign that follows no letter in any piece.
+        met = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if p[i].isalpha()}
+        signs = "".join(re.escape(c) for c in ".,;:!?#$%&*|" if c not in met)
+        word = f"{MARK}*[^\\W\\d_]+(?=[{signs}])|" if signs else ""
+        self.chunk = re.compile(f"\n|{word}{MARK}+[^{MARK}\n]*|[^{MARK}\n]+") if self.cuts else re.compile("(?s).+")
+        self.tied = {c for p, k in Counter(self.scores[i] for i in self.ids.values()).items() if k > 1 for q, i in self.ids.items() if self.scores[i] == p for c in q} if self.bpe else set()
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.weights = [-x for x in self.scores]
+        self.root = self._compile()
         self.out = [self._surface(i) for i in range(len(self.pieces))]
 
     def _surface(self, i: int) -> bytes:
@@ -112,85 +122,117 @@ class Transducer:
         """The first machine: spaces to marks, one mark in front of non-empty text."""
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def _merge(self, text: str) -> list[str]:
-        """Best-scored, leftmost merges of neighbouring symbols, from characters on."""
-        parts = list(text)
+    def _merge(self, text: str) -> list[tuple[str, str, str]]:
+        """Best-scored, leftmost merges of neighbouring symbols, from characters on: (symbol, its left, its right)."""
+        parts = [(c, "", "") for c in text]
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                p = self.ids.get(parts[i] + parts[i + 1])
+                p = self.ids.get(parts[i][0] + parts[i + 1][0])
                 if p is not None and (best is None or self.scores[p] > best):
                     best, at = self.scores[p], i
             if at < 0:
                 return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def follows(self, a: str, b: str) -> bool:
-        """The bigram restriction."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 4 * CACHE_CHUNKS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._merge(a + b) == [a, b]
+            a, b = parts[at][0], parts[at + 1][0]
+            parts[at : at + 2] = [(a + b, a, b)]
+
+    def _made(self, piece: str) -> tuple[str, str] | None:
+        """The two parts of a piece's last merge, ("", "") for one character; None if merges never give the piece."""
+        got = self.parts.get(piece, False)
+        if got is False:
+            whole = self._merge(piece)
+            got = self.parts[piece] = whole[0][1:] if len(whole) == 1 else None
         return got
 
-    def _alone(self, piece: str) -> bool:
-        got = self.pairs.get((piece, ""))
-        if got is None:
-            got = self.pairs[piece, ""] = self._merge(piece) == [piece]
+    def _score(self, symbol: str) -> float:
+        p = self.ids.get(symbol)
+        return float("inf") if p is None else self.scores[p]
+
+    def follows(self, a: str, b: str, key: int) -> bool:
+        """The bigram restriction, kept by ``key``: merging the characters of both gives back these two."""
+        if len(self.pairs) > CACHE_CHUNKS:
+            self.pairs.clear()
+        got = self.pairs[key] = self._separate(a, b)
         return got
 
-    def _arcs(self, text: str, at: int) -> list[str]:
-        """Pieces that the trie reads from ``at`` on, or the one character that falls back to bytes."""
-        found = []
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            if part not in self.prefixes:
-                break
-            if part in self.ids and (not self.bpe or len(part) == 1 or self._alone(part)):
-                found.append(part)
-        if not found or len(found[0]) != 1:
-            found.insert(0, text[at])
-        return found
-
-    def _weight(self, part: str) -> float:
-        """Arc weight; smaller is better. Byte fallback costs more than any piece."""
-        p = self.ids.get(part)
-        if p is None:
-            return 1e6
-        return 1.0 if self.bpe else -self.scores[p]
-
-    def shortest_path(self, text: str) -> list[str]:
-        """Pieces (or single characters for byte fallback) along the least path of the composition with ``text``."""
-        states: list[dict[str, tuple[float, str | None, int]]] = [{} for _ in range(len(text) + 1)]
-        states[0][""] = (0.0, None, 0)
-        for at in range(len(text)):
-            here = states[at]
-            if not here:
+    def _separate(self, a: str, b: str) -> bool:
+        """Walks back through the merges along the border, latest first. A symbol pair at the border that could merge, and
+        would have come before the merge just taken back, would have joined the two."""
+        if self.tied & {a[-1], b[0]}:  # runs of marks have equal scores, where only the full merge tells
+            return [x[0] for x in self._merge(a + b)] == [a, b]
+        left, right = a, b
+        before, leftmost = float("-inf"), False  # a merge at the border must score below this; equal counts if it is left of it
+        while True:
+            joined = self._score(left + right) if left + right in self.ids else None
+            if joined is not None and (joined > before or (leftmost and joined == before)):
+                return False
+            l_parts, r_parts = self._made(left) or ("", ""), self._made(right) or ("", "")
+            if not l_parts[0] and not r_parts[0]:
+                return True
+            if l_parts[0] and (not r_parts[0] or self._score(left) < self._score(right)):
+                before, leftmost, left = self._score(left), False, l_parts[1]
+            else:
+                before, leftmost, right = self._score(right), True, r_parts[0]
+
+    def _compile(self) -> dict:
+        """The piece machine: for each state its arcs, character -> (state, piece id or -1 where none ends)."""
+        root: dict = {}
+        for piece, i in self.ids.items():
+            if self.bpe and self._made(piece) is None:
+                continue  # no merges lead to it
+            states = root
+            for c in piece[:-1]:
+                states = states.setdefault(c, [{}, -1])[0]
+            states.setdefault(piece[-1], [{}, -1])[1] = i
+        return root
+
+    def shortest_path(self, text: str) -> list[int | str]:
+        """Piece ids (or single characters for byte fallback) along the least path of the composition with ``text``.
+
+        One state for each place is enough: without the restriction the best path to a place is a best path's start, and
+        with it only one path leads to each place, the merges' own result on the text so far. Byte fallback costs more
+        than any piece; a BPE arc costs 1, because there the restriction alone decides.
+        """
+        n, bpe, root, pairs, weights = len(text), self.bpe, self.root, self.pairs, self.weights
+        none = float("inf")
+        cost, last, begin = [none] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
+        for at in range(n):
+            now = cost[at]
+            if now == none:
                 continue
-            for part in self._arcs(text, at):
-                w, best = self._weight(part), None
-                for last, (cost, _, _) in here.items():
-                    if (not self.bpe or not last or self.follows(last, part)) and (best is None or cost + w < best[0]):
-                        best = (cost + w, last, at)
-                if best:
-                    key = part if self.bpe else "-"
-                    then = states[at + len(part)]
-                    if key not in then or best[0] < then[key][0]:
-                        then[key] = best
-        at, key = len(text), min(states[-1], key=lambda k: states[-1][k][0])
-        path = []
+            arcs, here, end = root, last[at], at
+            for c in text[at : at + self.longest]:
+                arc = arcs.get(c)
+                if arc is None:
+                    break
+                end += 1
+                arcs, piece = arc
+                if piece < 0:
+                    continue
+                total = now + (1.0 if bpe else weights[piece])
+                if total >= cost[end] or (bpe and cost[end] != none):
+                    continue
+                if bpe and here >= 0:
+                    key = here << 20 | piece
+                    fine = pairs.get(key)
+                    if fine is None:
+                        fine = self.follows(self.pieces[here], self.pieces[piece], key)
+                    if not fine:
+                        continue
+                cost[end], last[end], begin[end] = total, piece, at
+            if text[at] not in self.ids and now + 1e6 < cost[at + 1]:
+                cost[at + 1], last[at + 1], begin[at + 1] = now + 1e6, -1, at
+        at, path = n, []
         while at:
-            _, last, begin = states[at][key]
-            path.append(text[begin:at])
-            at, key = begin, last
+            path.append(last[at] if last[at] >= 0 else text[at - 1])
+            at = begin[at]
         return path[::-1]
 
-    def _write(self, path: list[str]) -> Iterator[int]:
+    def _write(self, path: list[int | str]) -> Iterator[int]:
         for part in path:
-            p = self.ids.get(part)
-            if p is not None:
-                yield p
+            if isinstance(part, int):
+                yield part
             elif self.bytes:
                 yield from (self.bytes[b] for b in part.encode("utf-8", "replace"))
             else:
@@ -198,15 +240,18 @@ class Transducer:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        cache = self.cache
+        young, old = self.young, self.old
         for chunk in self.chunk.findall(self.normalise(text or "")):
-            ids = cache.get(chunk)
+            ids = young.get(chunk)
             if ids is None:
-                ids = tuple(self._write(self.shortest_path(chunk)))
+                ids = old.get(chunk)
+                if ids is None:
+                    ids = tuple(self._write(self.shortest_path(chunk)))
                 if len(chunk) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_CHUNKS:
-                        cache.clear()
-                    cache[chunk] = ids
+                    if len(young) >= CACHE_CHUNKS:  # what wasn't met for a whole generation goes
+                        old = self.old = young
+                        young = self.young = {}
+                    young[chunk] = ids
             out.extend(ids)
         return out
 
@@ -217,6 +262,18 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+_COMPILED: dict[int, Transducer] = {}
+
+
+def compiled(model: bytes) -> Transducer:
+    """One machine, with its chunk cache, for each Python worker."""
+    key = hash(model)
+    if key not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[key] = Transducer(model)
+    return _COMPILED[key]
+
+
 def _model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -225,11 +282,11 @@ def _model(path: str) -> bytes:
 def encoded(docs: DataFrame, *, text: str = "text", columns: tuple[str, ...] = ("doc_id",), model_path: str = MODEL_PATH) -> DataFrame:
     """``columns``, ``n_tokens``, ``ids`` and ``round_trip`` (decoding gave the text back). The driver reads the model."""
     names = [f"c{i}" for i in range(len(columns))]
-    schema = docs.select(*columns).schema.add("n_tokens", "long").add("ids", "array<int>").add("round_trip", "boolean")
+    schema = docs.select(*columns).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
     sent = docs.sparkSession.sparkContext.broadcast(_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Transducer(sent.value)
+        own = compiled(sent.value)
         for b in slices(batches, 256):
             texts = b.column("__body").to_pylist()
             ids = [own.encode(t) for t in texts]
@@ -251,7 +308,7 @@ def decoded(tokens: DataFrame, *, ids: str = "ids", columns: tuple[str, ...] = (
     sent = tokens.sparkSession.sparkContext.broadcast(_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Transducer(sent.value)
+        own = compiled(sent.value)
         for b in slices(batches, 256):
             texts = [own.decode(i or []) for i in b.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*columns, "text"])

@@ -1,11 +1,12 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes of its lower-case words, word pairs, and pairs that skip one or two words.
+Features of a text are the distinct hashes of its lower-case words and their stems, word pairs, and pairs that skip one
+or two words.
 FTRL-proximal keeps a rate for each coordinate and its L1 term leaves few weights; they are stored as sorted
 (hash, weight) arrays, small enough to broadcast (at most the features of the bounded sample).
 
-Fit: at most ``SAMPLE_PER_CLASS`` labelled rows of each class, the first by a hash of the id; the rows are balanced and
-the intercept is then moved to the classes' true odds. Scoring reads each text once and shuffles nothing.
+Fit: at most ``SAMPLE_PER_CLASS`` labelled rows of each class, the first by a hash of the id; a fifth of them
+is kept apart to calibrate slope and intercept at the classes' true odds. Scoring reads each text once and shuffles nothing.
 
 Null text counts as empty and gets the intercept's score. Repeated rows each get a score. Null labels are left out; an
 id labelled more than once counts as toxic if any label says so. Without labels of both classes the score is the toxic
@@ -23,18 +24,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, text_or_empty
+from .common import fold, logistic, slices, text_or_empty
 
 SAMPLE_PER_CLASS = 4000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.3
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
+#: Every so-many-th sampled row only calibrates, if that leaves enough toxic ones.
+CALIBRATE, ENOUGH = 5, 8
 #: A feature must occur in so many sampled rows.
 MIN_ROWS = 3
 FOLDS = 5
+#: A longer word also counts by so many leading bytes.
+STEM_BYTES = 6
 
 _PUNCT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
+_STEM = np.uint64(0x6C62272E07BB0142)
 _SALTS = tuple(np.uint64(x) for x in (0x51ED270B, 0xA24BAED4, 0x8CB92BA7))
 
 
@@ -49,11 +55,12 @@ def features(text: str | None) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    stems = np.fromiter((zlib.crc32(x[:STEM_BYTES]) for x in words if len(x) > STEM_BYTES), np.uint64)
     parts = [_mix(w)]
     for gap, salt in enumerate(_SALTS, 1):
         if len(w) > gap:
             parts.append(_mix(parts[0][:-gap] ^ (w[gap:] * salt)))
-    return np.concatenate(parts)
+    return np.concatenate([*parts, _mix(stems ^ _STEM)])
 
 
 @dataclass
@@ -92,12 +99,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     bias_z = bias_n = 0.0
     order = np.random.default_rng(7)
+    aside = np.arange(len(rows)) % CALIBRATE == 0
+    if min(labels[aside].sum(), (1 - labels[aside]).sum()) < ENOUGH:
+        aside[:] = False
+    learn = np.flatnonzero(~aside)
 
     def weight(zi, ni, l1=L1):
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
+        for i in order.permutation(learn):
             at = local[i]
             zi, ni = z[at], n[at]
             w, b = weight(zi, ni), float(weight(np.float64(bias_z), np.float64(bias_n), 0.0))
@@ -109,8 +120,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
             bias_z, bias_n = bias_z + g - s * b, bias_n + g * g
     w = weight(z, n)
     held = w != 0
-    shift = np.log(odds) - np.log(n_pos / (len(rows) - n_pos))
-    return Model(keys[held], w[held], float(weight(np.float64(bias_z), np.float64(bias_n), 0.0) + shift))
+    bias = float(weight(np.float64(bias_z), np.float64(bias_n), 0.0))
+    excess = n_pos / (len(rows) - n_pos) / odds  # how much the sample favours toxic rows
+    if not aside.any():
+        return Model(keys[held], w[held], bias - float(np.log(excess)))
+    at = np.flatnonzero(aside)
+    margins = np.array([w[local[i]].sum() for i in at]) + bias
+    a, b = logistic(margins, labels[at], np.where(labels[at] == 1, 1.0, excess))
+    a = max(a, 1e-3)
+    return Model(keys[held], w[held] * a, bias * a + b)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", may_learn: Column | None = None) -> Model:
