@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, logistic, slices, text_or_empty
 
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2000
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 #: Every so-many-th sampled row only calibrates, if that leaves enough toxic ones.
@@ -40,6 +40,7 @@ STEM_BYTES = 6
 _PUNCT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
+_HIGH = np.uint64(32)
 _STEM = np.uint64(0x6C62272E07BB0142)
 _SALTS = tuple(np.uint64(x) for x in (0x51ED270B, 0xA24BAED4, 0x8CB92BA7))
 
@@ -50,17 +51,17 @@ def _mix(a: np.ndarray) -> np.ndarray:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashes (uint64) of words, pairs and skip pairs, in text order with repeats."""
+    """Hashes (uint32) of words, pairs and skip pairs, in text order with repeats."""
     words = (text or "").lower().encode("utf-8", "replace").translate(_PUNCT).split()
     if not words:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint32)
     w = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     stems = np.fromiter((zlib.crc32(x[:STEM_BYTES]) for x in words if len(x) > STEM_BYTES), np.uint64)
     parts = [_mix(w)]
     for gap, salt in enumerate(_SALTS, 1):
         if len(w) > gap:
             parts.append(_mix(parts[0][:-gap] ^ (w[gap:] * salt)))
-    return np.concatenate([*parts, _mix(stems ^ _STEM)])
+    return (np.concatenate([*parts, _mix(stems ^ _STEM)]) >> _HIGH).astype(np.uint32)
 
 
 @dataclass
@@ -71,11 +72,11 @@ class Model:
 
     def __post_init__(self) -> None:
         self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.sieve[self.keys & np.uint32(0xFFFF)] = True
 
     def score(self, text: str | None) -> float:
         f = features(text)
-        f = np.unique(f[self.sieve[(f & np.uint64(0xFFFF)).astype(np.int64)]])
+        f = np.unique(f[self.sieve[f & np.uint32(0xFFFF)]])
         total = self.bias
         if len(f) and len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, f), len(self.keys) - 1)
@@ -89,7 +90,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
     if not len(rows) or n_pos in (0, len(rows)):
         share = odds / (1 + odds) if np.isfinite(odds) else 1.0
         share = min(max(share, 1e-9), 1 - 1e-9)
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))))
+        return Model(np.empty(0, np.uint32), np.empty(0), float(np.log(share / (1 - share))))
     keys, counts = np.unique(np.concatenate(rows), return_counts=True)
     keys = keys[counts >= min(MIN_ROWS, len(rows))]
     local = []
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", may_learn:
 
     got = picked.mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, hashes binary").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["hashes"])))
-    rows = [np.frombuffer(bytes(r["hashes"]), np.uint64) for r in got]
+    rows = [np.frombuffer(bytes(r["hashes"]), np.uint32) for r in got]
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     return fit(rows, np.array([r["toxic"] for r in got], float), pos / neg if neg else (float("inf") if pos else 0.0))
 
