@@ -69,3 +69,25 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *,
         if np.abs(step).max() < 1e-6:
             break
     return float(a), float(b)
+
+
+#: Bits of the sieve below; its size is fixed, so it may be broadcast whatever the table's size.
+SIEVE_BITS = 1 << 24
+
+
+def sieve_of(nodes: DataFrame, column: str = "node") -> np.ndarray:
+    """A bitmap of the residues that a long column takes; lets a scan leave out most rows that an exact join would drop.
+
+    At most ``SIEVE_BITS / 8`` bytes reach the driver. When it fills up with the data it only passes more rows.
+    """
+    at = (F.pmod(F.col(column), F.lit(SIEVE_BITS)) + 1).alias("at")
+    parts = nodes.select(at).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
+    out = np.zeros((SIEVE_BITS // 32768, 32768), bool)
+    for r in parts:
+        out[r["k"] - 1] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    return np.packbits(out.ravel())
+
+
+def passes(sieve: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = np.mod(nodes, SIEVE_BITS)
+    return (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
