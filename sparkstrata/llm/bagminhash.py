@@ -8,8 +8,9 @@ probability of the weighted Jaccard similarity. Processes are cut at the time by
 met (later if not), so a signature costs about one draw a shingle.
 
 Then ``BANDS`` bands of ``ROWS`` components: texts that agree in a band meet. At similarity 0.8 a pair meets in at least
-one band but for 3 in a million. A bucket's pairs aren't listed: all its members are compared with the bucket's least
-text hash, which is a random member and often the same one in many bands, so edges grow with the rows. Candidates are
+one band but for 3 in a million. A bucket's pairs aren't listed: all its members are compared with two of them, the one
+that meets most others over all bands (of a text and its edited copies that is the text) and one drawn anew for each
+bucket, so edges grow with the rows. Candidates are
 sieved by size ratio and by agreement of the whole signatures (4.5 standard errors of slack), and the rest is verified
 on the exact multisets: sum of minima over sum of maxima, at least ``SIMILARITY``. Classes are the components.
 
@@ -205,8 +206,15 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """``a, b``: verified links between nodes, at least one path between any two that are similar in a shared band."""
     nodes = written(signed.filter(F.col("n") > 0).select("node", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).select("key", "b")
-    met = rows.join(leaders, "key").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    rows = written(rows.join(full, "key"), "buckets")
+    degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
+    rows = written(rows.select("node", "key").join(degree, "node"), "degrees")
+    place = F.xxhash64("node", "key")
+    heads = rows.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.min(F.struct(place.alias("place"), "node")).alias("any"))
+    heads = heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads"))
+    met = rows.join(heads, "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).filter(F.col("a") != F.col("b"))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     near = met.join(left, "a").join(right, "b")
