@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, langid, paragraphs, pieces, pii, secrets, token_counts, toxicity
+from . import bagminhash, decontam, langid, paragraphs, pieces, pii, secrets, syncmers, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(_table(spark, sf_dir, "documents"))
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"))[0])
 
@@ -50,7 +54,7 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_toxicity, op4_language, op5_pieces, op6_token_counts, op8_secrets, op9_near_duplicates, op10_paragraphs)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_toxicity, op4_language, op5_pieces, op6_token_counts, op7_syncmers, op8_secrets, op9_near_duplicates, op10_paragraphs)}
 
 
 def oracle_sql() -> dict[str, str]:
