@@ -21,9 +21,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    from . import bar_queries, grid_queries, point_queries, region_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
