@@ -2,7 +2,7 @@
 
 A bar table has ``slice, birth, death, mult``; bars are half-open, [birth, death). Everything set-shaped is one grouped
 aggregate or a join with a small grid of t values (a parameter, not data). Distances between two diagrams are matching
-problems; they run in one cogrouped numpy kernel for each slice.
+problems; they run in one grouped numpy kernel for each slice.
 """
 
 from __future__ import annotations
@@ -224,8 +224,6 @@ def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _points(pdf: pd.DataFrame) -> np.ndarray:
-    if not len(pdf):
-        return np.empty((0, 2))
     return np.repeat(pdf[["birth", "death"]].to_numpy(float), pdf["mult"].to_numpy(int), axis=0)
 
 
@@ -234,13 +232,13 @@ def slice_distances(a: DataFrame, b: DataFrame, kind: str = "bottleneck", p: flo
     if kind not in ("bottleneck", "wasserstein"):
         raise ValueError(f"unknown distance {kind}")
 
-    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s, t = _points(x), _points(y)
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        s, t = (_points(rows[rows["side"] == i]) for i in (0, 1))
         return pd.DataFrame({"slice": [key[0]], "distance": [bottleneck(s, t) if kind == "bottleneck" else wasserstein(s, t, p, q)]})
 
-    keep = ["slice", "birth", "death", "mult"]
+    side = lambda df, i: df.select("slice", "birth", "death", "mult", F.lit(i).alias("side"))
     kind_of = a.schema["slice"].dataType.simpleString()
-    return a.select(*keep).groupBy("slice").cogroup(b.select(*keep).groupBy("slice")).applyInPandas(run, f"slice {kind_of}, distance double")
+    return side(a, 0).unionByName(side(b, 1)).groupBy("slice").applyInPandas(run, f"slice {kind_of}, distance double")
 
 
 def matching_distance(a: DataFrame, b: DataFrame, weights: DataFrame, kind: str = "bottleneck") -> DataFrame:

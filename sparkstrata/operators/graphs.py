@@ -1,7 +1,7 @@
 """Graph vertex functions: degrees, components, distances, centralities, cores, modularity.
 
 Edges are ``u, v`` (with u < v) and optional weights. Iterations are joins with map-side sums; each round is
-checkpointed to the shared folder and only counters reach the driver.
+written to the shared folder and only counters reach the driver.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import cut
+
 
 def both_ways(edges: DataFrame, weight: str | None = None) -> DataFrame:
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -23,13 +25,13 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``pid, root``: least vertex of the component. Labels spread along edges, then jump to their label's label."""
-    arcs = both_ways(edges).select("u", "v").checkpoint()
-    now = vertices.select("pid", F.col("pid").alias("root")).checkpoint()
+    arcs = cut(both_ways(edges).select("u", "v"))
+    now = cut(vertices.select("pid", F.col("pid").alias("root")))
     while True:
         near = arcs.join(now.select(F.col("pid").alias("v"), "root"), "v").groupBy(F.col("u").alias("pid")).agg(F.min("root").alias("m"))
         step = now.join(near, "pid", "left").select("pid", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = step.select(F.col("pid").alias("root"), F.col("root").alias("up"))
-        then = step.join(jump, "root").select("pid", F.least("root", "up").alias("root")).checkpoint()
+        then = cut(step.join(jump, "root").select("pid", F.least("root", "up").alias("root")))
         if then.join(now.withColumnRenamed("root", "old"), "pid").filter(F.col("root") != F.col("old")).isEmpty():
             return then
         now = then
@@ -40,12 +42,12 @@ def geodesic(vertices: DataFrame, edges: DataFrame, sources: DataFrame, weight:
 
     Vertices that no source reaches get the largest finite distance + 1.
     """
-    arcs = both_ways(edges, weight).checkpoint()
-    now = vertices.select("pid").join(sources.select("pid", F.lit(0.0).alias("value")).distinct(), "pid", "left").checkpoint()
+    arcs = cut(both_ways(edges, weight))
+    now = cut(vertices.select("pid").join(sources.select("pid", F.lit(0.0).alias("value")).distinct(), "pid", "left"))
     while True:
         reach = now.filter(F.col("value").isNotNull()).select(F.col("pid").alias("u"), "value")
         near = arcs.join(reach, "u").groupBy(F.col("v").alias("pid")).agg(F.min(F.col("value") + F.col("w")).alias("m"))
-        then = now.join(near, "pid", "left").select("pid", F.least("value", "m").alias("value"), F.col("value").alias("old")).checkpoint()
+        then = cut(now.join(near, "pid", "left").select("pid", F.least("value", "m").alias("value"), F.col("value").alias("old")))
         done = then.filter(~F.col("value").eqNullSafe(F.col("old"))).isEmpty()
         now = then.drop("old")
         if done:
@@ -59,8 +61,8 @@ def core_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Every vertex starts from its degree and takes the h-index of its neighbours' values until nothing changes, which
     ends at the core numbers; values are counted by size, so a hub's neighbours are never listed.
     """
-    arcs = both_ways(edges).select("u", "v").checkpoint()
-    now = degrees(vertices, edges).checkpoint()
+    arcs = cut(both_ways(edges).select("u", "v"))
+    now = cut(degrees(vertices, edges))
     from pyspark.sql import Window
 
     while True:
@@ -68,7 +70,7 @@ def core_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         counts = seen.groupBy("u", F.least("k", "value").alias("k")).agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(Window.partitionBy("u").orderBy(F.col("k").desc()))
         h = counts.withColumn("above", above).groupBy(F.col("u").alias("pid")).agg(F.max(F.least("k", "above")).alias("h"))
-        then = now.join(h, "pid", "left").select("pid", F.coalesce("h", F.lit(0)).cast("long").alias("value"), F.col("value").alias("old")).checkpoint()
+        then = cut(now.join(h, "pid", "left").select("pid", F.coalesce("h", F.lit(0)).cast("long").alias("value"), F.col("value").alias("old")))
         if then.filter("value <> old").isEmpty():
             return then.select("pid", "value")
         now = then.select("pid", "value")
@@ -78,13 +80,13 @@ def pagerank(vertices: DataFrame, edges: DataFrame, weight: str | None = None, d
     """``pid, value``: power iteration until the largest change is below the tolerance; dangling mass is spread evenly."""
     n = vertices.count()
     arcs = both_ways(edges, weight)
-    arcs = arcs.join(arcs.groupBy("u").agg(F.sum("w").alias("all")), "u").select("u", "v", (F.col("w") / F.col("all")).alias("p")).checkpoint()
-    now = vertices.select("pid", F.lit(1.0 / max(n, 1)).alias("value")).join(arcs.select(F.col("u").alias("pid"), F.lit(True).alias("out")).distinct(), "pid", "left").checkpoint()
+    arcs = cut(arcs.join(arcs.groupBy("u").agg(F.sum("w").alias("all")), "u").select("u", "v", (F.col("w") / F.col("all")).alias("p")))
+    now = cut(vertices.select("pid", F.lit(1.0 / max(n, 1)).alias("value")).join(arcs.select(F.col("u").alias("pid"), F.lit(True).alias("out")).distinct(), "pid", "left"))
     for _ in range(rounds):
         loose = now.filter(F.col("out").isNull()).agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
         got = arcs.join(now.select(F.col("pid").alias("u"), "value"), "u").groupBy(F.col("v").alias("pid")).agg(F.sum(F.col("value") * F.col("p")).alias("s"))
         base = (1 - damping) / n + damping * loose / n
-        then = now.join(got, "pid", "left").select("pid", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("value"), "out", F.col("value").alias("old")).checkpoint()
+        then = cut(now.join(got, "pid", "left").select("pid", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("value"), "out", F.col("value").alias("old")))
         gap = then.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
         now = then.drop("old")
         if gap is None or gap < tolerance:
@@ -95,17 +97,17 @@ def pagerank(vertices: DataFrame, edges: DataFrame, weight: str | None = None, d
 def eigenvector(vertices: DataFrame, edges: DataFrame, weight: str | None = None, rounds: int = 500, tolerance: float = 1e-10) -> DataFrame:
     """``pid, value``: power iteration from 1 / sqrt(n), scaled to unit length each round; may cycle on bipartite graphs."""
     n = vertices.count()
-    arcs = both_ways(edges, weight).checkpoint()
-    now = vertices.select("pid", F.lit(1.0 / max(n, 1) ** 0.5).alias("value")).checkpoint()
+    arcs = cut(both_ways(edges, weight))
+    now = cut(vertices.select("pid", F.lit(1.0 / max(n, 1) ** 0.5).alias("value")))
     for _ in range(rounds):
         got = arcs.join(now.select(F.col("pid").alias("u"), "value"), "u").groupBy(F.col("v").alias("pid")).agg(F.sum(F.col("value") * F.col("w")).alias("s"))
-        raw = now.join(got, "pid", "left").select("pid", F.coalesce("s", F.lit(0.0)).alias("s"), F.col("value").alias("old")).checkpoint()
+        raw = cut(now.join(got, "pid", "left").select("pid", F.coalesce("s", F.lit(0.0)).alias("s"), F.col("value").alias("old")))
         norm = raw.agg(F.sqrt(F.sum(F.col("s") * F.col("s")))).first()[0]
         if not norm:
             return raw.select("pid", F.lit(0.0).alias("value"))
         then = raw.select("pid", (F.abs("s") / F.lit(norm)).alias("value"), "old")
         gap = then.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
-        now = then.select("pid", "value").checkpoint()
+        now = cut(then.select("pid", "value"))
         if gap < tolerance:
             break
     return now
@@ -129,17 +131,17 @@ def spanning_forest(edges: DataFrame, weight: str = "d") -> DataFrame:
     Its weights are the deaths of degree-0 persistence.
     """
     key = F.struct(F.col(weight).alias("d"), "u", "v")
-    live = edges.select("u", "v", key.alias("e"), F.col("u").alias("a"), F.col("v").alias("b")).checkpoint()
+    live = cut(edges.select("u", "v", key.alias("e"), F.col("u").alias("a"), F.col("v").alias("b")))
     chosen = None
     while not live.isEmpty():
         ends = live.select(F.col("a").alias("c"), "e").unionByName(live.select(F.col("b").alias("c"), "e"))
-        best = ends.groupBy("c").agg(F.min("e").alias("e")).select("e").distinct().checkpoint()
+        best = cut(ends.groupBy("c").agg(F.min("e").alias("e")).select("e").distinct())
         chosen = best if chosen is None else chosen.unionByName(best)
         joined = live.join(best, "e", "left_semi").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         nodes = live.select(F.col("a").alias("pid")).unionByName(live.select(F.col("b").alias("pid"))).distinct()
         root = components(nodes, joined.distinct())
         moved = live.join(root.select(F.col("pid").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("pid").alias("b"), F.col("root").alias("rb")), "b")
-        live = moved.filter("ra <> rb").select("u", "v", "e", F.col("ra").alias("a"), F.col("rb").alias("b")).checkpoint()
+        live = cut(moved.filter("ra <> rb").select("u", "v", "e", F.col("ra").alias("a"), F.col("rb").alias("b")))
     if chosen is None:
         return edges.select("u", "v", weight).limit(0)
     return chosen.select("e.u", "e.v", "e.d")

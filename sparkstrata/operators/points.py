@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
+from ..functions.store import cut
 
 AXES = ("x", "y", "z")
 
@@ -22,13 +23,13 @@ def near_pairs(points: DataFrame, radius: float, axes: tuple[str, ...] = AXES, l
     """``a, b, d``: ordered pairs of different points at most ``radius`` apart; ``left`` restricts ``a``."""
     if radius <= 0:
         raise ValueError("radius must be positive")
-    cut = axes[:2]
-    cells = [F.floor(F.col(c) / F.lit(float(radius))).alias(f"c{i}") for i, c in enumerate(cut)]
+    plane = axes[:2]
+    cells = [F.floor(F.col(c) / F.lit(float(radius))).alias(f"c{i}") for i, c in enumerate(plane)]
     right = points.select(F.col("pid").alias("b"), *axes, *cells)
-    steps = F.array(*(F.struct(*(F.lit(s).alias(f"s{i}") for i, s in enumerate(shift))) for shift in itertools.product((-1, 0, 1), repeat=len(cut))))
+    steps = F.array(*(F.struct(*(F.lit(s).alias(f"s{i}") for i, s in enumerate(shift))) for shift in itertools.product((-1, 0, 1), repeat=len(plane))))
     own = (left or points).select(F.col("pid").alias("a"), *axes, *cells).withColumn("s", F.explode(steps))
-    own = own.select("a", *axes, *((F.col(f"c{i}") + F.col(f"s.s{i}")).alias(f"c{i}") for i in range(len(cut))))
-    met = own.alias("p").join(right.alias("q"), [F.col(f"p.c{i}") == F.col(f"q.c{i}") for i in range(len(cut))])
+    own = own.select("a", *axes, *((F.col(f"c{i}") + F.col(f"s.s{i}")).alias(f"c{i}") for i in range(len(plane))))
+    met = own.alias("p").join(right.alias("q"), [F.col(f"p.c{i}") == F.col(f"q.c{i}") for i in range(len(plane))])
     return met.filter(F.col("a") != F.col("b")).select("a", "b", distance("p", "q", axes).alias("d")).filter(F.col("d") <= radius)
 
 
@@ -49,9 +50,9 @@ def nearest(points: DataFrame, k: int, start: float, axes: tuple[str, ...] = AXE
     radius, todo, found = start, points, None
     while True:
         near = near_pairs(points, radius, axes, todo).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        near = near.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("a"))).filter(F.col("held") == k).drop("held").checkpoint()
+        near = cut(near.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("a"))).filter(F.col("held") == k).drop("held"))
         found = near if found is None else found.unionByName(near)
-        todo = todo.join(near.select(F.col("a").alias("pid")).distinct(), "pid", "left_anti").checkpoint()
+        todo = cut(todo.join(near.select(F.col("a").alias("pid")).distinct(), "pid", "left_anti"))
         if todo.isEmpty():
             return found
         radius *= 2
@@ -88,11 +89,11 @@ def landmark_edges(points: DataFrame, landmarks: DataFrame, radius: float, axes:
 def farthest_points(points: DataFrame, m: int, axes: tuple[str, ...] = AXES) -> DataFrame:
     """``pid, step``: greedy farthest-point sample from the least id; ties to the lower id. One job a sample point."""
     first = points.agg(F.min("pid")).first()[0]
-    chosen, state = [first], points.select("pid", *axes, F.lit(float("inf")).alias("gap")).checkpoint()
+    chosen, state = [first], cut(points.select("pid", *axes, F.lit(float("inf")).alias("gap")))
     while len(chosen) < m:
         at = state.filter(F.col("pid") == chosen[-1]).select(*axes).first()
         total = sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(axes, at, strict=True)), F.lit(0.0))
-        state = state.withColumn("gap", F.least("gap", F.sqrt(total))).checkpoint()
+        state = cut(state.withColumn("gap", F.least("gap", F.sqrt(total))))
         best = state.agg(F.max(F.struct("gap", (-F.col("pid")).alias("neg")))).first()[0]
         if best["gap"] <= 0:
             break
