@@ -14,7 +14,8 @@ from ..functions.columns import sign
 
 def event_cells(events: DataFrame, step: float) -> DataFrame:
     """``ts, dim, i, j``: each event is a vertex; errors are read as edges (they join two states). Grades: value index, kind."""
-    return events.select("ts", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("dim"), F.floor(F.col("value") / step).cast("long").alias("i"), F.length("event_type").cast("long").alias("j"))
+    ts = F.col("ts").cast("timestamp").alias("ts") if events.isStreaming else F.col("ts")  # watermarks need a zoned type
+    return events.select(ts, F.when(F.col("event_type") == "error", 1).otherwise(0).alias("dim"), F.floor(F.col("value") / step).cast("long").alias("i"), F.length("event_type").cast("long").alias("j"))
 
 
 def windowed_measure(cells: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
