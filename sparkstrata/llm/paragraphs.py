@@ -103,50 +103,47 @@ def signature(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _cut_all(docs: DataFrame, piece: bool) -> DataFrame:
-    """Units of one kind: ``doc_id, start, end, words, node``."""
+def _units(docs: DataFrame) -> DataFrame:
+    """``doc_id, piece, start, end, words, node, bands``: paragraphs and pieces of every row, from one reading.
+
+    Only the first meeting of a paragraph in a partition carries its band keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            rows, cols = [], [[], [], [], []]
+            rows, cols, kinds, keys, held, seen = [], [[], [], [], []], [], [], [], set()
             for i, t in enumerate(b.column("body").to_pylist()):
                 h, start, end, line = cut(t)
-                if piece and len(h):
-                    first = pieces(h)
-                    first, last = first, np.append(first[1:], len(h))
-                    first, last = first[:-1], last[:-1]  # the last piece is open at the back
-                else:
-                    first, last = lines_of(h, line)
-                if len(first):
-                    rows.append(np.full(len(first), i))
-                    for c, v in zip(cols, (start[first], end[last - 1], last - first, sums(h, first, last).view(np.int64)), strict=True):
-                        c.append(v)
-            if rows:
-                values = [np.concatenate(c).astype(np.int64) for c in cols]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.concatenate(rows))), *map(pa.array, values)], ["doc_id", "start", "end", "words", "node"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, start long, end long, words long, node long")
-
-
-def _bands(docs: DataFrame) -> DataFrame:
-    """``node, key`` for every band of every paragraph; a partition's repeats go at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 512):
-            nodes, keys, seen = [], [], set()
-            for t in b.column("body").to_pylist():
-                h, _, _, line = cut(t)
+                if not len(h):
+                    continue
                 first, last = lines_of(h, line)
-                for node, i, j in zip(sums(h, first, last).view(np.int64).tolist(), first, last, strict=True):
+                at = pieces(h)
+                n = len(first)
+                first, last = np.concatenate((first, at[:-1])), np.concatenate((last, at[1:]))  # the last piece is open
+                if not len(first):
+                    continue
+                nodes = sums(h, first, last).view(np.int64)
+                rows.append(np.full(len(first), i))
+                kinds.append(np.arange(len(first)) >= n)
+                for c, v in zip(cols, (start[first], end[last - 1], last - first, nodes), strict=True):
+                    c.append(v)
+                fresh = np.zeros(len(first), np.int64)
+                for k in range(n):
+                    node = int(nodes[k])
                     if node not in seen:
                         seen.add(node)
-                        nodes.append(node)
-                        keys.append(signature(h[i:j]))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), BANDS)), pa.array(np.concatenate(keys))], ["node", "key"])
+                        fresh[k] = BANDS
+                        keys.append(signature(h[first[k] : last[k]]))
+                held.append(fresh)
+            if rows:
+                values = [np.concatenate(c).astype(np.int64) for c in cols]
+                sizes = np.concatenate(held)
+                ends = pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32())
+                bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(kinds)), *map(pa.array, values), bands], ["doc_id", "piece", "start", "end", "words", "node", "bands"])
 
-    return docs.select("body").mapInArrow(run, "node long, key long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, piece boolean, start long, end long, words long, node long, bands array<long>")
 
 
 def _bodies(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
@@ -179,10 +176,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(got, pa.bool_())).select(["a", "b"])
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, units: DataFrame) -> DataFrame:
     """``a, b``: verified links between different paragraphs."""
-    rows = _bands(docs)
-    rows = written(rows, "bands")
+    rows = units.filter(F.size("bands") > 0).select("node", F.explode("bands").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter(F.col("top") != F.col("b")).select("key", "b")
     near = written(rows.join(leaders, "key").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
@@ -194,14 +190,15 @@ def links(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, kind, start, end, n_words, class_id, keep``: every repeated paragraph and passage, in code points."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body"))
-    lines = written(_cut_all(narrow, piece=False), "lines")
-    roots = components(links(narrow))
+    units = written(_units(narrow), "units")
+    lines, parts = units.filter("not piece"), units.filter("piece")
+    roots = components(links(narrow, units))
     rows = lines.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = rows.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "start")).alias("tail"))
-    heads = heads.filter(F.col("head") != F.col("tail")).select("root", "head")
+    heads = written(heads.filter(F.col("head") != F.col("tail")).select("root", "head"), "heads")  # a table of its own: AQE can split the join with a hot root
     paragraphs = rows.join(heads, "root").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("head.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))).alias("keep"))
-    parts = written(_cut_all(narrow, piece=True), "parts")
     owners = parts.groupBy("node").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter(F.col("owner") != F.col("last")).select("node", "owner")
+    owners = written(owners, "owners")
     met = parts.join(owners, "node").select("doc_id", "start", "end", "words", "owner").distinct()
     order = Window.partitionBy("doc_id", "owner").orderBy("start")
     gap = F.lag("end").over(order)
