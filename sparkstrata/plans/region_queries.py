@@ -127,7 +127,7 @@ def fiber_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fiber_dimensions(S.regions(_signed(spark, sf_dir)), phi).select(_text("ups").alias("ups"), _text("downs").alias("downs"), "dim")
 
 
-@query("region_order", f"WITH {BOXES}, g AS (SELECT DISTINCT ups, downs, list_filter(string_split(ups, ','), x -> x <> '') AS u, list_filter(string_split(downs, ','), x -> x <> '') AS d FROM sig) SELECT a.ups AS a, a.downs AS da, b.ups AS b, b.downs AS db FROM g a JOIN g b ON list_has_all(b.u, a.u) AND list_has_all(a.d, b.d)")
+@query("region_order", f"WITH {BOXES}, g AS (SELECT DISTINCT ups, downs, CASE WHEN ups = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(ups, ',') END AS u, CASE WHEN downs = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(downs, ',') END AS d FROM sig) SELECT a.ups AS a, a.downs AS da, b.ups AS b, b.downs AS db FROM g a JOIN g b ON list_has_all(b.u, a.u) AND list_has_all(a.d, b.d)")
 def region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.region_order(S.regions(_signed(spark, sf_dir))).select(*(_text(c).alias(c) for c in ("a", "da", "b", "db")))
 
