@@ -36,8 +36,8 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]++", lambda t: t.contains("AKIA"), lambda m, g: F.length(m) >= 20),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", lambda t: t.rlike("[0-9a-f]{24}"), lambda m, g: F.lit(True)),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", lambda t: t.contains("PRIVATE KEY-----"), lambda m, g: F.lit(True)),
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", lambda t: t.contains(".eyJ"), lambda m, g: F.lit(True)),
-    Rule("ghp", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+", lambda t: t.rlike("gh[pousr]_"), lambda m, g: F.lit(True)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", lambda t: t.contains(".eyJ"), lambda m, g: F.lit(True)),
+    Rule("ghp", r"gh[pousr]_[A-Za-z0-9]{36,}+", lambda t: t.rlike("gh[pousr]_"), lambda m, g: F.lit(True)),
 )
 #: Changes whenever a rule does, so that old ledger rows no longer count as scanned.
 RULE_VERSION = f"{zlib.crc32(repr([(r.kind, r.pattern) for r in RULES]).encode()):08x}"
