@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step is one grouped minimum (summed on the map side, so a hub's edges are never gathered) and one join of edges
-with these minima (an equi-join whose hot side AQE can split). Each round is written to the shared folder, which cuts
+with these minima. The minima are written first, so both sides of the join are shuffled and AQE can split a hub's. Each round is written to the shared folder, which cuts
 lineage; nothing but a count and a checksum reaches the driver. Rounds grow with the logarithm of the longest chain.
 """
 
@@ -22,12 +22,13 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(least, "least")
     return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
 
