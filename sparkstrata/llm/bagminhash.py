@@ -155,7 +155,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """``doc_id, mark, node, n, bands, sketch`` of every row; ``mark`` tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 512):
+        for b in slices(batches, 128):
             texts = b.column("body").to_pylist()
             words = [words_of(t) for t in texts]
             rows = [shingles(word_hashes(w)) for w in words]
@@ -181,7 +181,7 @@ def _bodies(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 512):
+        for b in slices(batches, 128):
             texts = b.column("body").to_pylist()
             words = [words_of(t) for t in texts]
             nodes = np.array([node_of(t, w) for t, w in zip(texts, words, strict=True)], np.int64)
@@ -206,13 +206,13 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """``a, b``: verified links between nodes, at least one path between any two that are similar in a shared band."""
     nodes = written(signed.filter(F.col("n") > 0).select("node", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "full")
     rows = written(rows.join(full, "key"), "buckets")
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
     rows = written(rows.select("node", "key").join(degree, "node"), "degrees")
     place = F.xxhash64("node", "key")
     heads = rows.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.min(F.struct(place.alias("place"), "node")).alias("any"))
-    heads = heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads"))
+    heads = written(heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads")), "bucket-heads")
     met = rows.join(heads, "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).filter(F.col("a") != F.col("b"))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -235,7 +235,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     signed = written(_signed(narrow), "signed")
     roots = components(links(narrow, signed))
     rows = signed.select("doc_id", "mark", "node").join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
-    heads = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("head"))
+    heads = written(rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("head")), "heads")  # a table of its own: AQE can split the join with a hot root
     return rows.join(heads, "root").select("doc_id", "mark", "head")
 
 
