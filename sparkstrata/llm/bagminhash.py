@@ -8,9 +8,11 @@ probability of the weighted Jaccard similarity. Processes are cut at the time by
 met (later if not), so a signature costs about one draw a shingle.
 
 Then ``BANDS`` bands of ``ROWS`` components: texts that agree in a band meet. At similarity 0.8 a pair meets in at least
-one band but for 3 in a million. A bucket's pairs aren't listed: all its members are compared with two of them, the one
-that meets most others over all bands (of a text and its edited copies that is the text) and one drawn anew for each
-bucket, so edges grow with the rows. Candidates are
+one band but for 3 in a million. First all members of a bucket are compared with two of them, the one that meets most others
+over all bands (of a text and its edited copies that is the text) and one drawn anew for each bucket; this joins most
+of what belongs together with edges that grow with the rows. Then every two members of a bucket that no path joins yet
+are compared: the bucket is cut into blocks and each two blocks are a cell of their own (see ``_cells``), so a bucket of
+one template's texts costs the square of its size, but no task gathers it. Candidates are
 sieved by size ratio and by agreement of the whole signatures (4.5 standard errors of slack), and the rest is verified
 on the exact multisets: sum of minima over sum of maxima, at least ``SIMILARITY``. Classes are the components.
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import passes, sieve_of, slices, text_or_empty, written
@@ -41,6 +43,8 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 #: Standard errors that a candidate's signature agreement may lie below the threshold.
 SLACK = 4.5
+#: Members and words that a block of a bucket holds, about.
+BLOCK, BLOCK_WORDS = 256, 1 << 16
 
 _PUNCT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -202,38 +206,172 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """``a, b``: verified links between nodes, at least one path between any two that are similar in a shared band."""
-    nodes = written(signed.filter(F.col("n") > 0).select("node", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "full")
-    rows = written(rows.join(full, "key"), "buckets")
-    degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
-    rows = written(rows.select("node", "key").join(degree, "node"), "degrees")
+def _least_agreement() -> float:
+    return SIZE * (SIMILARITY - SLACK * (SIMILARITY * (1 - SIMILARITY) / SIZE) ** 0.5)
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """``key, i, j, node, n, root, right``: each member of a bucket of several roots, once for each cell it is in.
+
+    A cell (i, j) is two blocks of a bucket (``right``: in the second), or one block with itself. The members of a
+    bucket's largest root have blocks of their own if they fill one, and these don't meet each other.
+    """
+    roots = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    keys = roots.groupBy("key").agg(F.max(F.struct("m", "w", "root")).alias("big"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots")).filter(F.col("roots") > 1)
+
+    def parts(m: Column, w: Column) -> Column:
+        return F.ceil(F.greatest(m / BLOCK, w / BLOCK_WORDS)).cast("int")
+
+    alone = F.col("big.m") > BLOCK
+    keys = keys.select(
+        "key",
+        F.when(alone, F.col("big.root")).alias("big"),
+        F.when(alone, parts(F.col("big.m"), F.col("big.w"))).otherwise(0).alias("own"),
+        F.when(alone, parts(F.col("m") - F.col("big.m"), F.col("w") - F.col("big.w"))).otherwise(parts(F.col("m"), F.col("w"))).alias("rest"),
+    )
+    rows = members.join(written(keys, "open-buckets"), "key")
     place = F.xxhash64("node", "key")
-    heads = rows.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.min(F.struct(place.alias("place"), "node")).alias("any"))
-    heads = written(heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads")), "bucket-heads")
+    x = F.when(F.col("root").eqNullSafe(F.col("big")), F.pmod(place, F.col("own"))).otherwise(F.col("own") + F.pmod(place, F.col("rest"))).cast("int")
+    rows = rows.withColumn("x", x)
+    other = F.sequence(F.when(F.col("x") < F.col("own"), F.col("own")).otherwise(0), F.col("own") + F.col("rest") - 1)
+    rows = rows.withColumn("y", F.explode(other))
+    return rows.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "n", "root", (F.col("x") > F.col("y")).alias("right"))
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches sorted by the first three columns."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)])
+        cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            own = tuple(at[:, lo])
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(right: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which pairs (row, row) of a cell are to be compared, each once."""
+    across = ~right[:, None] & right[None, :] if right.any() else np.triu(np.ones((len(right),) * 2, bool), 1)
+    return across & (root[:, None] != root[None, :])
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that a signature doesn't keep from being similar to some other."""
+    least = _least_agreement()
+    for cell in groups(batches):
+        root, right, n = (cell.column(c).to_numpy() for c in ("root", "right", "n"))
+        open_ = _sides(right, root)
+        open_ &= np.minimum(n[:, None], n[None, :]) >= SIMILARITY * np.maximum(n[:, None], n[None, :])
+        sketch = cell.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(n), SIZE)
+        held = np.zeros(len(n), bool)
+        for k in np.flatnonzero(open_.any(1)):
+            with_ = np.flatnonzero(open_[k])
+            near = with_[(sketch[with_] == sketch[k]).sum(1) >= least]
+            held[near] = True
+            held[k] |= len(near) > 0
+        if held.any():
+            kept = cell.select(["key", "i", "j", "node", "root", "right"]).filter(pa.array(held))
+            yield from kept.combine_chunks().to_batches()
+
+
+def overlaps(rows: list[np.ndarray]) -> np.ndarray:
+    """(rows, rows) sums of minima of multisets."""
+    tokens = []
+    for r in rows:
+        r = np.sort(r)
+        first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))[: len(r)]
+        nth = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+        tokens.append(mix(r + nth.astype(np.uint64) * _GOLD))  # the nth of equal elements: minima are intersections
+    row = np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
+    _, col, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    shared = count > 1
+    row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(rows), len(rows)), np.int64)
+    width = 4096
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(col, (lo, lo + width))
+        x = np.zeros((len(rows), width), np.float32)
+        x[row[a:b], col[a:b] - lo] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cell in groups(batches):
+        root, right = (cell.column(c).to_numpy() for c in ("root", "right"))
+        rows = [shingles(np.frombuffer(x, np.uint32)) for x in cell.column("body").to_pylist()]
+        n = np.array([len(r) for r in rows])
+        shared = overlaps(rows)
+        a, b = np.nonzero(_sides(right, root) & (shared >= SIMILARITY * (n[:, None] + n[None, :] - shared)))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(root[a]), pa.array(root[b])], ["a", "b"])
+
+
+def _wanted_bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    return written(_bodies(docs, sieve_of(wanted)).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bodies")
+
+
+def _head_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``a, b``: verified links between the members of buckets and their heads."""
     met = rows.join(heads, "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).filter(F.col("a") != F.col("b"))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     near = met.join(left, "a").join(right, "b")
     near = near.filter(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
-    least = SIMILARITY - SLACK * (SIMILARITY * (1 - SIMILARITY) / SIZE) ** 0.5
     agree = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-    near = written(near.filter(agree >= least * SIZE).select("a", "b"), "near")
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    bodies = _bodies(docs, sieve_of(wanted)).dropDuplicates(["node"])
-    one = bodies.join(wanted, "node", "left_semi")
-    one = written(one, "bodies")
+    near = written(near.filter(agree >= _least_agreement()).select("a", "b"), "near")
+    one = _wanted_bodies(docs, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
     pairs = near.join(one.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
+def _other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: roots to be joined, as members of theirs that aren't heads share a bucket and are similar."""
+    known = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    members = rows.join(heads, "key").filter(~F.array_contains("heads", F.col("node"))).select("key", "node").join(known, "node")
+    cells = _cells(written(members, "members")).join(nodes.select("node", "sketch"), "node")
+    left = _by_cell(cells.select("key", "i", "j", "node", "n", "root", "right", "sketch")).mapInArrow(_agreeing, "key long, i int, j int, node long, root long, right boolean")
+    left = written(left, "left")
+    one = _wanted_bodies(docs, left.select("node").distinct())
+    return _by_cell(left.join(one, "node").select("key", "i", "j", "root", "right", "body")).mapInArrow(_verify_cells, "a long, b long").distinct()
+
+
+def roots_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``node, root``: components of the links between all nodes that share a band, for every node but roots."""
+    nodes = written(signed.filter(F.col("n") > 0).select("node", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "full")
+    rows = written(rows.join(full, "key"), "buckets")
+    degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
+    rows = written(rows.select("node", "key").join(degree, "node"), "degrees")
+    place = F.xxhash64("node", "key")
+    heads = rows.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.min(F.struct(place.alias("place"), "node")).alias("any"))
+    heads = written(heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads")), "bucket-heads")
+    first = components(_head_links(docs, nodes, rows, heads))
+    then = components(_other_links(docs, nodes, rows, heads, first)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = first.join(then, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(then.select(F.col("root").alias("node"), F.col("top").alias("root")))
+
+
 def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     narrow = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).withColumn("mark", F.xxhash64("body"))
     signed = written(_signed(narrow), "signed")
-    roots = components(links(narrow, signed))
+    roots = roots_of(narrow, signed)
     rows = signed.select("doc_id", "mark", "node").join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
     heads = written(rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("head")), "heads")  # a table of its own: AQE can split the join with a hot root
     return rows.join(heads, "root").select("doc_id", "mark", "head")

@@ -301,6 +301,61 @@ def test_near_duplicate_classes_against_all_pairs(spark, odd, empty):
     assert bagminhash.classes(empty).count() == 0
 
 
+def _template_family(rng, n_words, singles, pairs, own, shared):
+    """Texts on one template, ``own`` words of each changed; pairs also share ``shared`` changes."""
+    fresh = iter(range(10**6))
+    base = [f"w{next(fresh)}" for _ in range(n_words)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"w{next(fresh)}"
+        return out
+
+    texts = [changed(base, own + shared) for _ in range(singles)]
+    for _ in range(pairs):
+        start = changed(base, shared)
+        texts += [changed(start, own), changed(start, own)]
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def _least_of_component(n, linked):
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    return {i: top(i) for i in range(n)}
+
+
+def test_near_duplicates_of_a_template_family(spark, monkeypatch):
+    texts = _template_family(random.Random(11), 400, 120, 60, 4, 3)
+    bags = [bagminhash.shingles(bagminhash.word_hashes(bagminhash.words_of(t))) for t in texts]
+    want = _least_of_component(len(texts), lambda i, j: bagminhash.similarity(bags[i], bags[j]) >= 0.8)
+    assert 30 < len(texts) - len(set(want.values())) < 90
+    docs = documents(spark, texts)
+    assert {r.doc_id: r.class_id for r in bagminhash.classes(docs).collect()} == want
+    monkeypatch.setattr(bagminhash, "BLOCK", 20)  # many cells a bucket
+    assert {r.doc_id: r.class_id for r in bagminhash.classes(docs).collect()} == want
+
+
+def test_overlaps_of_multisets():
+    rng = np.random.default_rng(12)
+    rows = [rng.integers(0, 60, n).astype(np.uint64) for n in (200, 1, 90, 40)]
+    got = bagminhash.overlaps(rows)
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            assert got[i, j] == sum((Counter(a.tolist()) & Counter(b.tolist())).values()) or i == j
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)]
