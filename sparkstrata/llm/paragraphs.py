@@ -9,7 +9,8 @@ miss each other with probability (1 - 0.8^ROWS)^BANDS, 3 in 10,000. Equal paragr
 bucket meet its least node (an edge a row, never all pairs), the exact Jaccard similarity of the shingle sets decides,
 and classes are the components.
 Pieces: a piece that two documents hold is repeated; runs of repeated pieces of at least ``RUN_WORDS`` words are
-passages, each owned by the least document that holds its pieces.
+passages. A passage whose pieces have different owners, the least documents that hold them, is reported in parts, one
+for each stretch of one owner; a part may be shorter than ``RUN_WORDS``, and its owner need not list it.
 
 Every unit of a class or passage is reported with the class's least document; ``keep`` marks the owner's own, which
 stays, the others are removals. Sums are made before shuffles and joins meet one row for each node, so a line that a
@@ -200,10 +201,13 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     owners = parts.groupBy("node").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter(F.col("owner") != F.col("last")).select("node", "owner")
     owners = written(owners, "owners")
     met = parts.join(owners, "node").select("doc_id", "start", "end", "words", "owner").distinct()
-    order = Window.partitionBy("doc_id", "owner").orderBy("start")
-    gap = F.lag("end").over(order)
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    gap, before = F.lag("end").over(order), F.lag("owner").over(order)
     # Words of neighbouring pieces are parted by other characters only, at most so many.
-    met = met.withColumn("fresh", F.when(gap.isNull() | (F.col("start") - gap > 40), 1).otherwise(0)).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = met.groupBy("doc_id", "owner", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words")).filter(F.col("n_words") >= RUN_WORDS)
+    met = met.withColumn("fresh", gap.isNull() | (F.col("start") - gap > 40)).withColumn("turn", F.col("fresh") | (F.col("owner") != before))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumns({"run": F.sum(F.col("fresh").cast("int")).over(so_far), "part": F.sum(F.col("turn").cast("int")).over(so_far)})
+    met = met.withColumn("whole", F.sum("words").over(Window.partitionBy("doc_id", "run"))).filter(F.col("whole") >= RUN_WORDS)
+    runs = met.groupBy("doc_id", "owner", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"))
     passages = runs.select("doc_id", F.lit("passage").alias("kind"), "start", "end", "n_words", F.col("owner").alias("class_id"), (F.col("doc_id") == F.col("owner")).alias("keep"))
     return paragraphs.unionByName(passages)

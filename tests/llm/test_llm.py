@@ -387,6 +387,30 @@ def test_repeated_passages(spark, odd, empty):
     assert paragraphs.repeats(empty).count() == 0
 
 
+def test_passages_of_pieces_with_different_owners(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("aeioubcdt") for _ in range(rng.randint(5, 9)))
+    shared = [word() for _ in range(80)]
+    h, start, end, _ = paragraphs.cut(" ".join(shared))
+    cuts = [c for c in paragraphs.pieces(h) if paragraphs.REACH <= c < len(h) - paragraphs.REACH]  # whatever stands around
+    inner = [shared[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert len(inner) > 3
+    # Each second piece, with neighbours that keep its cuts, is in an earlier document of its own.
+    earlier = []
+    for a, b in list(zip(cuts[:-1], cuts[1:], strict=True))[1::2]:
+        earlier.append(" ".join([word() for _ in range(30)] + shared[max(a - 5, 0) : b + 6] + [word() for _ in range(30)]))
+    frame = lambda: " ".join([word() for _ in range(10)] + shared + [word() for _ in range(10)])
+    late = [frame(), frame()]
+    texts = earlier + late
+    rows = [r for r in paragraphs.repeats(documents(spark, texts)).collect() if r.kind == "passage"]
+    for doc in (len(earlier), len(earlier) + 1):
+        own = [(r.start, r.end) for r in rows if r.doc_id == doc]
+        for piece in inner:
+            at = texts[doc].index(" ".join(piece))
+            assert any(a <= at and at + len(" ".join(piece)) <= b for a, b in own)
+        assert len({r.class_id for r in rows if r.doc_id == doc}) > 1
+
+
 def test_paragraph_jaccard():
     a, b = np.arange(50, dtype=np.uint32), np.concatenate((np.arange(48), [99, 98])).astype(np.uint32)
     x, y = ({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (a, b))
