@@ -11,13 +11,14 @@ Then ``BANDS`` bands of ``ROWS`` components: texts that agree in a band meet. At
 one band but for 3 in a million. First all members of a bucket are compared with two of them, the one that meets most others
 over all bands (of a text and its edited copies that is the text) and one drawn anew for each bucket; this joins most
 of what belongs together with edges that grow with the rows. Then every two members of a bucket that no path joins yet
-are compared: the bucket is cut into blocks and each two blocks are a cell of their own (see ``_cells``), so a bucket of
+are compared: the bucket is cut into blocks and each two blocks are a cell of their own (see ``cells``), so a bucket of
 one template's texts costs the square of its size, but no task gathers it. Candidates are
 sieved by size ratio and by agreement of the whole signatures (4.5 standard errors of slack), and the rest is verified
 on the exact multisets: sum of minima over sum of maxima, at least ``SIMILARITY``. Classes are the components.
 
-Texts of equal words are one node, its copies only carry the class, so copies are never paired. Nodes are 64-bit
-hashes: two different texts share one with probability 2^-64 a pair.
+Texts of equal words are one node, its copies only carry the class, so copies are never paired. Nodes are the first
+half of a 128-bit hash; where two texts share it but not the second half, only the texts of the least second half are
+the node, each other one is a class of its own: it may lose a link, but no document goes because of a shared hash.
 
 Null text counts as empty. Texts without a word are alike only if they are equal. Texts under ``SHINGLE`` words are one
 shingle. Repeated rows belong to one class. An empty table gives an empty result. Further columns may have any names.
@@ -27,14 +28,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, sieve_of, slices, text_or_empty, written
+from .common import fresh, passes, sieve_of, slices, text_or_empty, written
 from .components import components
 
 SHINGLE = 5
@@ -79,9 +80,11 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(h)
 
 
-def node_of(text: str | None, words: list[bytes]) -> int:
+def node_of(text: str | None, words: list[bytes]) -> tuple[int, int]:
+    """Two halves of a 128-bit hash of a text's words; of the text itself if it has none."""
     body = b" ".join(words) if words else b"\x00" + (text or "").encode("utf-8", "replace")
-    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+    digest = hashlib.blake2b(body, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def bags(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +159,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, node, n, bands, sketch`` of every row; ``mark`` tells texts of one id apart."""
+    """``doc_id, mark, node, check, n, bands, sketch`` of every row; ``mark`` tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
@@ -171,13 +174,14 @@ def _signed(docs: DataFrame) -> DataFrame:
             ends = pa.concat_arrays([pa.array([0], pa.int32()), ends])
             some = n > 0
             marks = pa.concat_arrays([pa.array([0], pa.int32()), pa.array(np.where(some, SIZE, 0).cumsum(), pa.int32())])
+            node, check = np.array([node_of(t, w) for t, w in zip(texts, words, strict=True)], np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("mark"), pa.array([node_of(t, w) for t, w in zip(texts, words, strict=True)], pa.int64()), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(keys[some].ravel())), pa.ListArray.from_arrays(marks, pa.array(sketch[some].ravel()))],
-                ["doc_id", "mark", "node", "n", "bands", "sketch"],
+                [b.column("doc_id"), b.column("mark"), pa.array(node), pa.array(check), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(keys[some].ravel())), pa.ListArray.from_arrays(marks, pa.array(sketch[some].ravel()))],
+                ["doc_id", "mark", "node", "check", "n", "bands", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, mark long, node long, n long, bands array<long>, sketch array<tinyint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, mark long, node long, check long, n long, bands array<long>, sketch array<tinyint>")
 
 
 def _bodies(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
@@ -188,7 +192,7 @@ def _bodies(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
         for b in slices(batches, 128):
             texts = b.column("body").to_pylist()
             words = [words_of(t) for t in texts]
-            nodes = np.array([node_of(t, w) for t, w in zip(texts, words, strict=True)], np.int64)
+            nodes = np.array([node_of(t, w)[0] for t, w in zip(texts, words, strict=True)], np.int64)
             held = np.flatnonzero(passes(sent.value, nodes))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[held]), pa.array([word_hashes(words[i]).tobytes() for i in held], pa.binary())], ["node", "body"])
 
@@ -210,7 +214,7 @@ def _least_agreement() -> float:
     return SIZE * (SIMILARITY - SLACK * (SIMILARITY * (1 - SIMILARITY) / SIZE) ** 0.5)
 
 
-def _cells(members: DataFrame) -> DataFrame:
+def cells(members: DataFrame) -> DataFrame:
     """``key, i, j, node, n, root, right``: each member of a bucket of several roots, once for each cell it is in.
 
     A cell (i, j) is two blocks of a bucket (``right``: in the second), or one block with itself. The members of a
@@ -238,7 +242,7 @@ def _cells(members: DataFrame) -> DataFrame:
     return rows.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "n", "root", (F.col("x") > F.col("y")).alias("right"))
 
 
-def _by_cell(rows: DataFrame) -> DataFrame:
+def by_cell(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -261,7 +265,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _sides(right: np.ndarray, root: np.ndarray) -> np.ndarray:
+def sides(right: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Which pairs (row, row) of a cell are to be compared, each once."""
     across = ~right[:, None] & right[None, :] if right.any() else np.triu(np.ones((len(right),) * 2, bool), 1)
     return across & (root[:, None] != root[None, :])
@@ -272,7 +276,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = _least_agreement()
     for cell in groups(batches):
         root, right, n = (cell.column(c).to_numpy() for c in ("root", "right", "n"))
-        open_ = _sides(right, root)
+        open_ = sides(right, root)
         open_ &= np.minimum(n[:, None], n[None, :]) >= SIMILARITY * np.maximum(n[:, None], n[None, :])
         sketch = cell.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(n), SIZE)
         held = np.zeros(len(n), bool)
@@ -310,15 +314,27 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for cell in groups(batches):
-        root, right = (cell.column(c).to_numpy() for c in ("root", "right"))
-        rows = [shingles(np.frombuffer(x, np.uint32)) for x in cell.column("body").to_pylist()]
-        n = np.array([len(r) for r in rows])
-        shared = overlaps(rows)
-        a, b = np.nonzero(_sides(right, root) & (shared >= SIMILARITY * (n[:, None] + n[None, :] - shared)))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(root[a]), pa.array(root[b])], ["a", "b"])
+def cell_verifier(bag: Callable[[bytes], np.ndarray], least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between the roots of each cell's members whose bags, made of ``body``, are ``least`` or more alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches):
+            root, right = (cell.column(c).to_numpy() for c in ("root", "right"))
+            compared = sides(right, root)
+            if not compared.any():
+                continue
+            rows = [bag(x) for x in cell.column("body").to_pylist()]
+            n = np.array([len(r) for r in rows])
+            shared = overlaps(rows)
+            a, b = np.nonzero(compared & (shared >= least * (n[:, None] + n[None, :] - shared)))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(root[a]), pa.array(root[b])], ["a", "b"])
+
+    return run
+
+
+def _bag(body: bytes) -> np.ndarray:
+    return shingles(np.frombuffer(body, np.uint32))
 
 
 def _wanted_bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -342,39 +358,57 @@ def _head_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataF
 
 def _other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
     """``a, b``: roots to be joined, as members of theirs that aren't heads share a bucket and are similar."""
-    known = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    members = rows.join(heads, "key").filter(~F.array_contains("heads", F.col("node"))).select("key", "node").join(known, "node")
-    cells = _cells(written(members, "members")).join(nodes.select("node", "sketch"), "node")
-    left = _by_cell(cells.select("key", "i", "j", "node", "n", "root", "right", "sketch")).mapInArrow(_agreeing, "key long, i int, j int, node long, root long, right boolean")
+    met = open_cells(nodes, rows, heads, roots).join(nodes.select("node", "sketch"), "node")
+    left = by_cell(met.select("key", "i", "j", "node", "n", "root", "right", "sketch")).mapInArrow(_agreeing, "key long, i int, j int, node long, root long, right boolean")
     left = written(left, "left")
     one = _wanted_bodies(docs, left.select("node").distinct())
-    return _by_cell(left.join(one, "node").select("key", "i", "j", "root", "right", "body")).mapInArrow(_verify_cells, "a long, b long").distinct()
+    return by_cell(left.join(one, "node").select("key", "i", "j", "root", "right", "body")).mapInArrow(cell_verifier(_bag, SIMILARITY), "a long, b long").distinct()
 
 
-def roots_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """``node, root``: components of the links between all nodes that share a band, for every node but roots."""
-    nodes = written(signed.filter(F.col("n") > 0).select("node", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"))
+def buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``node, key`` rows of the buckets of several members, ``key, heads``: the member that meets most, and one drawn)."""
     full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "full")
     rows = written(rows.join(full, "key"), "buckets")
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
     rows = written(rows.select("node", "key").join(degree, "node"), "degrees")
     place = F.xxhash64("node", "key")
     heads = rows.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.min(F.struct(place.alias("place"), "node")).alias("any"))
-    heads = written(heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads")), "bucket-heads")
-    first = components(_head_links(docs, nodes, rows, heads))
-    then = components(_other_links(docs, nodes, rows, heads, first)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return rows, written(heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads")), "bucket-heads")
+
+
+def joined_roots(first: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after ``links`` (``a, b``) between the roots of ``first``, for every node but roots."""
+    then = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = first.join(then, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return moved.unionByName(then.select(F.col("root").alias("node"), F.col("top").alias("root")))
 
 
+def open_cells(nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """The cells (see ``cells``) of those members that aren't heads and that no path joins yet."""
+    known = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    members = rows.join(heads, "key").filter(~F.array_contains("heads", F.col("node"))).select("key", "node").join(known, "node")
+    return cells(written(members, "members"))
+
+
+def roots_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``node, root``: components of the links between all nodes that share a band, for every node but roots."""
+    nodes = written(signed.filter(F.col("n") > 0).select("node", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    rows, heads = buckets(nodes.select("node", F.explode("bands").alias("key")))
+    first = components(_head_links(docs, nodes, rows, heads))
+    return joined_roots(first, _other_links(docs, nodes, rows, heads, first))
+
+
 def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     narrow = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).withColumn("mark", F.xxhash64("body"))
     signed = written(_signed(narrow), "signed")
     roots = roots_of(narrow, signed)
-    rows = signed.select("doc_id", "mark", "node").join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
-    heads = written(rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("head")), "heads")  # a table of its own: AQE can split the join with a hot root
-    return rows.join(heads, "root").select("doc_id", "mark", "head")
+    halves = signed.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most"))
+    shared = written(halves.filter(F.col("least") != F.col("most")).select("node", "least"), "shared-hashes")
+    rows = signed.select("doc_id", "mark", "node", "check").join(roots, "node", "left").join(shared, "node", "left")
+    other = F.coalesce(F.when(F.col("check") != F.col("least"), F.col("check")), F.lit(0)).alias("other")
+    rows = rows.select("doc_id", "mark", F.coalesce("root", "node").alias("root"), other)
+    heads = written(rows.groupBy("root", "other").agg(F.min(F.struct("doc_id", "mark")).alias("head")), "heads")  # a table of its own: AQE can split the join with a hot root
+    return rows.join(heads, ["root", "other"]).select("doc_id", "mark", "head")
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -385,7 +419,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one of the least id, one of equal rows."""
     found = _classes(docs, doc_id, text)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__of")).distinct()
-    rows = docs.withColumn("__mark", F.xxhash64(text_or_empty(text)))
-    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left_semi")
-    return rows.dropDuplicates([doc_id, "__mark"]).drop("__mark")
+    mark, id_, of = (fresh(docs, n) for n in ("kept_mark", "kept_id", "kept_of"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))).select(F.col("doc_id").alias(id_), F.col("mark").alias(of)).distinct()
+    rows = docs.withColumn(mark, F.xxhash64(text_or_empty(text)))
+    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(of)), "left_semi")
+    return rows.dropDuplicates([doc_id, mark]).drop(mark)

@@ -1,13 +1,16 @@
 """Substring dedup by paragraph MinHash banding.
 
-Units. A paragraph is a line of at least ``MIN_WORDS`` words. Because a repeated passage may also start and end inside
-lines, the whole document is cut a second time into pieces that begin where a word's hash is the least of its
-``REACH`` neighbours on either side; such cuts depend on nearby words only, so equal passages have equal inner pieces.
+Units. A paragraph is a line of at least ``MIN_WORDS`` words, or a run of neighbouring shorter lines without a blank
+line between (wrapped text) of together that many words; shorter ones aren't compared as near-duplicates. Because a
+repeated passage may also start and end inside lines, the whole document is cut a second time into pieces that begin
+where a word's hash is the least of its ``REACH`` neighbours on either side; such cuts depend on nearby words only, so
+equal passages have equal inner pieces.
 
 Paragraphs: MinHash over runs of ``SHINGLE`` words, ``BANDS`` bands of ``ROWS`` rows; two paragraphs of similarity 0.8
-miss each other with probability (1 - 0.8^ROWS)^BANDS, 3 in 10,000. Equal paragraphs are one node. All members of a
-bucket meet its least node (an edge a row, never all pairs), the exact Jaccard similarity of the shingle sets decides,
-and classes are the components.
+share no band with probability (1 - 0.8^ROWS)^BANDS, 4 in 100,000. Equal paragraphs are one node. All members of a
+bucket meet two of them (the one that meets most others, and one drawn anew for each bucket); then every two members
+that no path joins yet are compared, in cells of two blocks of the bucket. The exact Jaccard similarity of the shingle
+sets decides, and classes are the components. So every pair that shares a band is in one class if it is similar.
 Pieces: a piece that two documents hold is repeated; runs of repeated pieces of at least ``RUN_WORDS`` words are
 passages. A passage whose pieces have different owners, the least documents that hold them, is reported in parts, one
 for each stretch of one owner; a part may be shorter than ``RUN_WORDS``, and its owner need not list it.
@@ -16,9 +19,10 @@ Every unit of a class or passage is reported with the class's least document; ``
 stays, the others are removals. Sums are made before shuffles and joins meet one row for each node, so a line that a
 third of all documents hold is one row a task.
 
+A document is an id with a text: ``text_hash`` tells texts of one id (or of null ids) apart, repeated rows count as one.
 Null texts and texts without words have no units. Words are compared in ASCII lower case without punctuation. A
-document that repeats a paragraph within itself reports the later ones as removals. Repeated rows of one id count as
-one document. An empty table gives an empty result. Further columns may have any names.
+document that repeats a paragraph within itself reports the later ones as removals; passages are repeats across
+documents only. Null ids come before others. An empty table gives an empty result. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bagminhash import mix, shingles
+from .bagminhash import buckets, by_cell, cell_verifier, joined_roots, mix, open_cells, shingles
 from .common import passes, sieve_of, slices, text_or_empty, written
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 20
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 14, 3
 REACH = 5
 RUN_WORDS = 15
 
@@ -48,7 +52,7 @@ _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _GOLD)
 
 
 def cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, their start and end in code points, and the line each is in."""
+    """Word hashes, their start and end in code points, and the paragraph each is in."""
     raw = text.encode("utf-8", "replace")
     plain = raw.translate(_PLAIN)
     words = plain.split()
@@ -58,13 +62,28 @@ def cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     own = np.frombuffer(raw, np.uint8)
-    line = np.searchsorted(np.flatnonzero(own == 10), start)
+    line = paragraphs_of(np.searchsorted(np.flatnonzero(own == 10), start))
     if len(raw) != len(text):
         point = np.concatenate(([0], np.cumsum((own & 0xC0) != 0x80)))
         start, end = point[start], point[end]
     return h, start, end, line
 
 
+def paragraphs_of(line: np.ndarray) -> np.ndarray:
+    """The line of each word, or for wrapped text the first line of its run of neighbouring short lines.
+
+    A line without a word between parts a run, whatever else it holds.
+    """
+    if not len(line):
+        return line
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    size = np.diff(np.append(first, len(line)))
+    number, short = line[first], size < MIN_WORDS
+    goes_on = np.concatenate(([False], short[1:] & short[:-1] & (number[1:] == number[:-1] + 1)))
+    start = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(first))))
+    return np.repeat(number[start], size)
+
+
 def pieces(h: np.ndarray) -> np.ndarray:
     """First word of every piece but the open one at the front."""
     n = len(h)
@@ -86,7 +105,7 @@ def sums(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def lines_of(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[first, last) word of every line of enough words."""
+    """[first, last) word of every paragraph of enough words."""
     if not len(h):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
@@ -95,9 +114,9 @@ def lines_of(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[held], last[held]
 
 
-def signature(h: np.ndarray) -> np.ndarray:
+def signature(bag: np.ndarray) -> np.ndarray:
     """Band keys of one paragraph's shingles."""
-    low = mix(shingles(h, SHINGLE)[None, :] ^ _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
+    low = mix(bag[None, :] ^ _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
     key = _SEEDS[:BANDS].copy()
     for i in range(ROWS):
         key = mix(key ^ low[:, i])
@@ -105,14 +124,14 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """``doc_id, piece, start, end, words, node, bands``: paragraphs and pieces of every row, from one reading.
+    """``doc_id, mark, piece, start, end, words, node, n, bands``: paragraphs and pieces of every row, from one reading.
 
-    Only the first meeting of a paragraph in a partition carries its band keys.
+    Only the first meeting of a paragraph in a partition carries its band keys and ``n``, its count of different shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            rows, cols, kinds, keys, held, seen = [], [[], [], [], []], [], [], [], set()
+            rows, cols, kinds, keys, held, sizes, seen = [], [[], [], [], []], [], [], [], [], set()
             for i, t in enumerate(b.column("body").to_pylist()):
                 h, start, end, line = cut(t)
                 if not len(h):
@@ -128,23 +147,26 @@ def _units(docs: DataFrame) -> DataFrame:
                 kinds.append(np.arange(len(first)) >= n)
                 for c, v in zip(cols, (start[first], end[last - 1], last - first, nodes), strict=True):
                     c.append(v)
-                fresh = np.zeros(len(first), np.int64)
+                fresh, distinct = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
                 for k in range(n):
                     node = int(nodes[k])
                     if node not in seen:
                         seen.add(node)
                         fresh[k] = BANDS
-                        keys.append(signature(h[first[k] : last[k]]))
+                        bag = shingles(h[first[k] : last[k]], SHINGLE)
+                        keys.append(signature(bag))
+                        distinct[k] = len(np.unique(bag))
                 held.append(fresh)
+                sizes.append(distinct)
             if rows:
                 values = [np.concatenate(c).astype(np.int64) for c in cols]
-                sizes = np.concatenate(held)
-                ends = pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32())
+                ends = pa.array(np.concatenate(([0], np.concatenate(held).cumsum())), pa.int32())
+                at = pa.array(np.concatenate(rows))
                 bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(kinds)), *map(pa.array, values), bands], ["doc_id", "piece", "start", "end", "words", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("mark").take(at), pa.array(np.concatenate(kinds)), *map(pa.array, values), pa.array(np.concatenate(sizes)), bands], ["doc_id", "mark", "piece", "start", "end", "words", "node", "n", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, piece boolean, start long, end long, words long, node long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, mark long, piece boolean, start long, end long, words long, node long, n long, bands array<long>")
 
 
 def _bodies(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
@@ -177,37 +199,64 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(got, pa.bool_())).select(["a", "b"])
 
 
-def links(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """``a, b``: verified links between different paragraphs."""
-    rows = units.filter(F.size("bands") > 0).select("node", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter(F.col("top") != F.col("b")).select("key", "b")
-    near = written(rows.join(leaders, "key").filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "near")
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    one = written(_bodies(docs, sieve_of(wanted)).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bodies")
+def _set(body: bytes) -> np.ndarray:
+    return np.unique(shingles(np.frombuffer(body, np.uint32), SHINGLE))
+
+
+def _wanted_bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    return written(_bodies(docs, sieve_of(wanted)).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bodies")
+
+
+def _head_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``a, b``: verified links between paragraphs and the heads of their buckets."""
+    met = rows.join(heads, "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).filter(F.col("a") != F.col("b"))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = met.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    near = written(sizes.filter(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b"), "near")
+    one = _wanted_bodies(docs, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
     pairs = near.join(one.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
+def _other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: roots to be joined, as members of theirs that aren't heads share a bucket and are similar."""
+    met = written(open_cells(nodes, rows, heads, roots), "cells")
+    one = _wanted_bodies(docs, met.select("node").distinct())
+    return by_cell(met.join(one, "node").select("key", "i", "j", "root", "right", "body")).mapInArrow(cell_verifier(_set, SIMILARITY), "a long, b long").distinct()
+
+
+def roots_of(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """``node, root``: components of the links between different paragraphs, for every node but roots."""
+    nodes = written(units.filter(F.size("bands") > 0).select("node", "n", "bands").dropDuplicates(["node"]), "nodes")
+    rows, heads = buckets(nodes.select("node", F.explode("bands").alias("key")))
+    first = components(_head_links(docs, nodes, rows, heads))
+    return joined_roots(first, _other_links(docs, nodes, rows, heads, first))
+
+
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, kind, start, end, n_words, class_id, keep``: every repeated paragraph and passage, in code points."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body"))
+    """``doc_id, kind, start, end, n_words, class_id, keep, text_hash``: every repeated paragraph and passage, in code points."""
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).withColumn("mark", F.xxhash64("body"))
     units = written(_units(narrow), "units")
     lines, parts = units.filter("not piece"), units.filter("piece")
-    roots = components(links(narrow, units))
+    roots = roots_of(narrow, units)
     rows = lines.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = rows.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "start")).alias("tail"))
-    heads = written(heads.filter(F.col("head") != F.col("tail")).select("root", "head"), "heads")  # a table of its own: AQE can split the join with a hot root
-    paragraphs = rows.join(heads, "root").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("head.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))).alias("keep"))
-    owners = parts.groupBy("node").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter(F.col("owner") != F.col("last")).select("node", "owner")
+    place = F.struct("doc_id", "mark", "start")
+    heads = rows.groupBy("root").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
+    heads = written(heads.filter(~F.col("head").eqNullSafe(F.col("tail"))).select("root", "head"), "heads")  # a table of its own: AQE can split the join with a hot root
+    kept = place.eqNullSafe(F.col("head"))
+    paragraphs = rows.join(heads, "root").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("head.doc_id").alias("class_id"), kept.alias("keep"), F.col("mark").alias("text_hash"))
+    who = F.struct("doc_id", "mark")
+    owners = parts.groupBy("node").agg(F.min(who).alias("owner"), F.max(who).alias("last")).filter(~F.col("owner").eqNullSafe(F.col("last"))).select("node", "owner")
     owners = written(owners, "owners")
-    met = parts.join(owners, "node").select("doc_id", "start", "end", "words", "owner").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    met = parts.join(owners, "node").select("doc_id", "mark", "start", "end", "words", "owner").distinct()
+    order = Window.partitionBy("doc_id", "mark").orderBy("start", "end")
     gap, before = F.lag("end").over(order), F.lag("owner").over(order)
     # Words of neighbouring pieces are parted by other characters only, at most so many.
-    met = met.withColumn("fresh", gap.isNull() | (F.col("start") - gap > 40)).withColumn("turn", F.col("fresh") | (F.col("owner") != before))
+    met = met.withColumn("fresh", gap.isNull() | (F.col("start") - gap > 40)).withColumn("turn", F.col("fresh") | ~F.col("owner").eqNullSafe(before))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     met = met.withColumns({"run": F.sum(F.col("fresh").cast("int")).over(so_far), "part": F.sum(F.col("turn").cast("int")).over(so_far)})
-    met = met.withColumn("whole", F.sum("words").over(Window.partitionBy("doc_id", "run"))).filter(F.col("whole") >= RUN_WORDS)
-    runs = met.groupBy("doc_id", "owner", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"))
-    passages = runs.select("doc_id", F.lit("passage").alias("kind"), "start", "end", "n_words", F.col("owner").alias("class_id"), (F.col("doc_id") == F.col("owner")).alias("keep"))
+    met = met.withColumn("whole", F.sum("words").over(Window.partitionBy("doc_id", "mark", "run"))).filter(F.col("whole") >= RUN_WORDS)
+    runs = met.groupBy("doc_id", "mark", "owner", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"))
+    own = who.eqNullSafe(F.col("owner"))
+    passages = runs.select("doc_id", F.lit("passage").alias("kind"), "start", "end", "n_words", F.col("owner.doc_id").alias("class_id"), own.alias("keep"), F.col("mark").alias("text_hash"))
     return paragraphs.unionByName(passages)
