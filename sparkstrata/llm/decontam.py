@@ -194,8 +194,12 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    """The rows of ``docs`` that ``leaks`` has no row for, with all their columns.
+
+    Seeds are counted on all of ``docs``, as in ``leaks``; each block then leaves out rows of what earlier ones left.
+    """
     at = docs.columns.index(text)
+    left = docs
     for items in _blocks(benchmark, item_id, "text"):
         sent = docs.sparkSession.sparkContext.broadcast((items, rare_seeds(docs, items, text=text)))
 
@@ -204,5 +208,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             for b in slices(batches, 1024):
                 yield b.filter(pa.array([not own.leaks(plain(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        left = left.mapInArrow(run, docs.schema)
+    return left

@@ -1,8 +1,8 @@
 """Secret scans through an incremental blob ledger.
 
-Every version of a text is a blob, addressed by the SHA-256 of its content. The ledger holds one row for each blob and
-rule version that was scanned. A run scans only the pairs the ledger lacks and joins findings back to all paths that
-hold the blob.
+Every version of a text is a blob, addressed by the SHA-256 of its content. A ledger row says
+which rules, in which versions, a blob was scanned for, and what was found. A run scans a blob only for the rules the ledger lacks, so a new rule
+rescans for itself alone, and joins findings back to all paths that hold the blob.
 
 Cost: ids and digests are shuffled for all rows; a text moves only if it may hold a secret (a necessary keyword or
 long-run test passed) and is the first holder of its blob. The join is on the holder's row, so a blob that a third of
@@ -19,8 +19,8 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
-from .spans import Rule, count_of, found, joined, tagged
+from .common import fresh, text_or_empty, written
+from .spans import Rule, count_of, found, joined, replaced, tagged
 
 # Fixed values of the contract: three base kinds, in listing order; then the kinds that this operator adds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,60 +39,72 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", lambda t: t.contains(".eyJ"), lambda m, g: F.lit(True)),
     Rule("ghp", r"gh[pousr]_[A-Za-z0-9]{36,}+", lambda t: t.rlike("gh[pousr]_"), lambda m, g: F.lit(True)),
 )
-#: Changes whenever a rule does, so that old ledger rows no longer count as scanned.
-RULE_VERSION = f"{zlib.crc32(repr([(r.kind, r.pattern) for r in RULES]).encode()):08x}"
+#: ``rule_version`` lists the rules scanned in one run, each with its version.
 LEDGER_SCHEMA = "blob string, rule_version string, spans array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
 
 
-def may_hold(text: Column) -> Column:
-    cond = RULES[0].sieve(text)
-    for rule in RULES[1:]:
-        cond = cond | rule.sieve(text)
-    return cond
+def rule_version(rule: Rule) -> str:
+    """Changes whenever a rule finds other spans: by its pattern, its group, or the written-out test of its matches."""
+    test = str(rule.keep(F.col("match"), F.col("inner")))
+    return f"{rule.kind}:{zlib.crc32(repr((rule.kind, rule.pattern, rule.group, test)).encode()):08x}"
 
 
-def all_spans(text: Column) -> Column:
-    return F.concat(*(tagged(found(text, r), r.kind, i) for i, r in enumerate(RULES)))
+def may_hold(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """The kinds that a text may hold, as an array; empty for most texts."""
+    return F.array_compact(F.array(*(F.when(r.sieve(text), F.lit(r.kind)) for r in rules)))
 
 
-def _marked(rows: DataFrame, text: str) -> DataFrame:
+def _marked(rows: DataFrame, text: str, rules: tuple[Rule, ...]) -> tuple[DataFrame, str, str]:
+    """``rows`` with a blob and a kinds column, whose names no column of theirs has."""
+    blob, may = fresh(rows, "blob"), fresh(rows, "may_hold")
     body = text_or_empty(text)
-    return rows.withColumns({"__blob": F.sha2(body, 256), "__may": may_hold(body)})
+    return rows.withColumns({blob: F.sha2(body, 256), may: may_hold(body, rules)}), blob, may
 
 
-def _facts(marked: DataFrame, path: str, text: str, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(blob, spans) of every blob with findings; ledger rows of this run. ``marked`` is read twice: ids, then bodies."""
+def _facts(docs: DataFrame, path: str, text: str, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """(blob, spans) of every blob with findings; ledger rows of this run. ``docs`` is read twice: ids, then bodies."""
+    versions = F.array(*(F.lit(rule_version(r)) for r in rules))
     key = F.coalesce(F.col(path).cast("string"), F.lit(""))
-    index = marked.select("__blob", "__may", key.alias("holder"))
-    firsts = index.filter("__may").groupBy("__blob").agg(F.min("holder").alias("holder"))
-    clean = index.filter(~F.col("__may")).select("__blob").distinct()
-    known = None
+    body = text_or_empty(text)
+    index = docs.select(F.sha2(body, 256).alias("blob"), may_hold(body, rules).alias("may"), key.alias("holder"))
+    blobs = index.groupBy("blob").agg(F.min("holder").alias("holder"), F.first("may").alias("may"))
+    known, none = None, F.array().cast("array<string>")
     if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("__blob"), "spans")
-        firsts = firsts.join(known.select("__blob"), "__blob", "left_anti")
-        clean = clean.join(known.select("__blob"), "__blob", "left_anti")
-    bodies = marked.filter("__may").select("__blob", key.alias("holder"), text_or_empty(text).alias("body"))
-    fresh = bodies.join(firsts, ["holder", "__blob"], "left_semi")
-    scanned = fresh.select(F.col("__blob").alias("blob"), F.array_sort(all_spans(F.col("body"))).alias("spans")).dropDuplicates(["blob"])
-    new = written(scanned.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans"), "ledger")
-    none = F.array().cast(new.schema["spans"].dataType)
-    rows = new.unionByName(clean.select(F.col("__blob").alias("blob"), F.lit(RULE_VERSION).alias("rule_version"), none.alias("spans")))
-    facts = new.select(F.col("blob").alias("__blob"), "spans")
-    facts = facts if known is None else facts.unionByName(known)
-    return facts.filter(F.size("spans") > 0), rows
-
-
-def scan(versions: DataFrame, *, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        known = ledger.select("blob", F.array_intersect(F.split("rule_version", ","), versions).alias("done"), "spans").filter(F.size("done") > 0)
+        known = known.withColumn("spans", F.filter("spans", lambda s: F.exists("done", lambda v: F.startswith(v, F.concat(s["kind"], F.lit(":"))))))
+        known = known.groupBy("blob").agg(F.flatten(F.collect_set("done")).alias("done"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        blobs = blobs.join(known.select("blob", "done"), "blob", "left").withColumn("todo", F.array_except(versions, F.coalesce("done", none))).drop("done")
+    else:
+        blobs = blobs.withColumn("todo", versions)
+    blobs = written(blobs.filter(F.size("todo") > 0), "unseen")
+    kinds = F.transform("todo", lambda v: F.substring_index(v, ":", 1))
+    open_ = blobs.withColumn("scan", F.array_intersect(kinds, "may")).filter(F.size("scan") > 0)
+    bodies = docs.filter(F.size(may_hold(body, rules)) > 0).select(F.sha2(body, 256).alias("blob"), key.alias("holder"), body.alias("body"))
+    fresh_ = bodies.join(open_.select("blob", "holder", "scan"), ["blob", "holder"]).groupBy("blob").agg(F.first("body").alias("body"), F.first("scan").alias("scan"))
+    each = (F.when(F.array_contains("scan", r.kind), tagged(found(F.col("body"), r), r.kind, i)).otherwise(F.array()) for i, r in enumerate(rules))
+    scanned = fresh_.select("blob", F.array_sort(F.concat(*each)).alias("spans"))
+    new = written(scanned.filter(F.size("spans") > 0), "findings")
+    spans = F.coalesce("spans", F.array().cast(new.schema["spans"].dataType))
+    rows = blobs.join(new, "blob", "left").select("blob", F.array_join("todo", ",").alias("rule_version"), spans.alias("spans"))
+    facts = new
+    if known is not None:
+        old = known.filter(F.size("spans") > 0).select("blob", "spans")
+        facts = new.unionByName(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return facts, rows
+
+
+def scan(versions: DataFrame, *, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings by path, ledger rows of this run).
 
-    ``ledger`` holds earlier runs' rows (``LEDGER_SCHEMA``); rows of other rule versions are ignored. Append the second
-    result to it. Findings: ``path, blob, spans``, one row for each row of ``versions``; spans are sorted.
+    ``ledger`` holds earlier runs' rows (``LEDGER_SCHEMA``); rows of other rule versions are ignored, rows held twice
+    count once. Append the second result to it. Findings: ``path, blob, spans``, one row for each row of ``versions``;
+    spans are sorted by start, ties by the rules' order.
     """
-    marked = _marked(versions.select(path, text), text)
-    facts, rows = _facts(marked, path, text, ledger)
+    narrow = versions.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    facts, rows = _facts(narrow, "path", "text", ledger, rules)
     none = F.array().cast(facts.schema["spans"].dataType)
-    findings = marked.select(F.col(path).alias("path"), F.col("__blob")).join(facts, "__blob", "left")
-    return findings.select("path", F.col("__blob").alias("blob"), F.coalesce("spans", none).alias("spans")), rows
+    findings = narrow.select("path", F.sha2(text_or_empty("text"), 256).alias("blob")).join(facts, "blob", "left")
+    return findings.select("path", "blob", F.coalesce("spans", none).alias("spans")), rows
 
 
 def digest(findings: DataFrame) -> DataFrame:
@@ -107,23 +119,17 @@ def digest(findings: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, *, path: str = "doc_id", mark: str = "[secret]", ledger: DataFrame | None = None) -> DataFrame:
+def redacted(docs: DataFrame, *, path: str = "doc_id", mark: str = "[secret]", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every finding replaced by ``mark`` and ``n_chars``, if there, counted anew; all rows and columns stay.
 
     Overlapping findings count as one. A null text stays null. Only rows that may hold a secret are joined to findings.
     """
-    marked = _marked(docs, "text")
-    facts, _ = _facts(marked, path, "text", ledger)
-    hot = marked.filter("__may").join(facts.withColumnRenamed("spans", "__spans"), "__blob", "left")
-    body = F.col("text")
-
-    def step(a, s):
-        part = F.concat(a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], part).otherwise(a["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("__spans", begin, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    hot = hot.withColumn("text", F.when(F.col("__spans").isNotNull(), cut).otherwise(body))
+    facts, _ = _facts(docs.select(F.col(path).alias("path"), F.col("text").alias("text")), "path", "text", ledger, rules)
+    marked, blob, may = _marked(docs, "text", rules)
+    spans, of = fresh(marked, "blob_spans"), fresh(marked, "blob_of")
+    hot = marked.filter(F.size(may) > 0).join(facts.select(F.col("blob").alias(of), F.col("spans").alias(spans)), F.col(blob) == F.col(of), "left")
+    body, hit = F.col("text"), F.col(spans).isNotNull()
+    hot = hot.withColumn("text", F.when(hit, replaced(body, F.col(spans), lambda s: F.lit(mark))).otherwise(body))
     if "n_chars" in docs.columns:
-        hot = hot.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return marked.filter(~F.col("__may")).select(*docs.columns).unionByName(hot.select(*docs.columns))
+        hot = hot.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return marked.filter(F.size(may) == 0).select(*docs.columns).unionByName(hot.select(*docs.columns))

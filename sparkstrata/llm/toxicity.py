@@ -5,8 +5,8 @@ or two words.
 FTRL-proximal keeps a rate for each coordinate and its L1 term leaves few weights; they are stored as sorted
 (hash, weight) arrays, small enough to broadcast (at most the features of the bounded sample).
 
-Fit: at most ``SAMPLE_PER_CLASS`` labelled rows of each class, the first by a hash of the id; a fifth of them
-is kept apart to calibrate slope and intercept at the classes' true odds. Scoring reads each text once and shuffles nothing.
+Fit: at most ``SAMPLE_PER_CLASS`` labelled ids of each class, the first by a hash of the id, one text each; a fifth of
+them is kept apart to calibrate slope and intercept at the classes' true odds. Scoring reads each text once and shuffles nothing.
 
 Null text counts as empty and gets the intercept's score. Repeated rows each get a score. Null labels are left out; an
 id labelled more than once counts as toxic if any label says so. Without labels of both classes the score is the toxic
@@ -144,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", may_learn:
         one = known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
         chosen = one if chosen is None else chosen.unionByName(one)
     # Bounded: 2 * SAMPLE_PER_CLASS rows of two integers.
-    picked = docs.select("doc_id", text_or_empty(text).alias("body")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "body")
+    picked = docs.select("doc_id", text_or_empty(text).alias("body")).join(F.broadcast(chosen), "doc_id")
+    # An id's rows may be many; one stays, the least by a hash of its text.
+    picked = picked.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("body", F.struct(F.xxhash64("body"), "body")).alias("body"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
