@@ -114,24 +114,32 @@ def lines_of(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[held], last[held]
 
 
-def signature(bag: np.ndarray) -> np.ndarray:
-    """Band keys of one paragraph's shingles."""
-    low = mix(bag[None, :] ^ _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
-    key = _SEEDS[:BANDS].copy()
+def signatures(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(paragraphs, bands) keys of the paragraphs [first, last) of a text, each of ``SHINGLE`` words or more."""
+    every = shingles(h, SHINGLE)
+    size = last - first - (SHINGLE - 1)
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    bag = every[np.repeat(first - begin, size) + np.arange(size.sum())]
+    if len(bag) > 4096:
+        low = np.stack([np.minimum.reduceat(mix(bag ^ seed), begin) for seed in _SEEDS])
+    else:
+        low = np.minimum.reduceat(mix(bag[None, :] ^ _SEEDS[:, None]), begin, axis=1)
+    low = low.reshape(BANDS, ROWS, len(first))
+    key = np.repeat(_SEEDS[:BANDS, None], len(first), axis=1)
     for i in range(ROWS):
         key = mix(key ^ low[:, i])
-    return key.view(np.int64)
+    return key.T.copy().view(np.int64)
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, piece, start, end, words, node, n, bands``: paragraphs and pieces of every row, from one reading.
+    """``doc_id, mark, piece, start, end, words, node, bands``: paragraphs and pieces of every row, from one reading.
 
-    Only the first meeting of a paragraph in a partition carries its band keys and ``n``, its count of different shingles.
+    Only the first meeting of a paragraph in a partition carries its band keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            rows, cols, kinds, keys, held, sizes, seen = [], [[], [], [], []], [], [], [], [], set()
+            rows, cols, kinds, keys, held, seen = [], [[], [], [], []], [], [], [], set()
             for i, t in enumerate(b.column("body").to_pylist()):
                 h, start, end, line = cut(t)
                 if not len(h):
@@ -147,26 +155,23 @@ def _units(docs: DataFrame) -> DataFrame:
                 kinds.append(np.arange(len(first)) >= n)
                 for c, v in zip(cols, (start[first], end[last - 1], last - first, nodes), strict=True):
                     c.append(v)
-                fresh, distinct = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-                for k in range(n):
-                    node = int(nodes[k])
+                fresh = np.zeros(len(first), bool)
+                for k, node in enumerate(nodes[:n].tolist()):
                     if node not in seen:
                         seen.add(node)
-                        fresh[k] = BANDS
-                        bag = shingles(h[first[k] : last[k]], SHINGLE)
-                        keys.append(signature(bag))
-                        distinct[k] = len(np.unique(bag))
-                held.append(fresh)
-                sizes.append(distinct)
+                        fresh[k] = True
+                if fresh.any():
+                    keys.append(signatures(h, first[fresh], last[fresh]).ravel())
+                held.append(fresh * BANDS)
             if rows:
                 values = [np.concatenate(c).astype(np.int64) for c in cols]
                 ends = pa.array(np.concatenate(([0], np.concatenate(held).cumsum())), pa.int32())
                 at = pa.array(np.concatenate(rows))
                 bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("mark").take(at), pa.array(np.concatenate(kinds)), *map(pa.array, values), pa.array(np.concatenate(sizes)), bands], ["doc_id", "mark", "piece", "start", "end", "words", "node", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("mark").take(at), pa.array(np.concatenate(kinds)), *map(pa.array, values), bands], ["doc_id", "mark", "piece", "start", "end", "words", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, mark long, piece boolean, start long, end long, words long, node long, n long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, mark long, piece boolean, start long, end long, words long, node long, bands array<long>")
 
 
 def _bodies(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
@@ -203,34 +208,29 @@ def _set(body: bytes) -> np.ndarray:
     return np.unique(shingles(np.frombuffer(body, np.uint32), SHINGLE))
 
 
-def _wanted_bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    return written(_bodies(docs, sieve_of(wanted)).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bodies")
-
-
-def _head_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
+def _head_links(one: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
     """``a, b``: verified links between paragraphs and the heads of their buckets."""
     met = rows.join(heads, "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).filter(F.col("a") != F.col("b"))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sizes = met.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    near = written(sizes.filter(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b"), "near")
-    one = _wanted_bodies(docs, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
+    near = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
     pairs = near.join(one.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
-def _other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+def _other_links(one: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
     """``a, b``: roots to be joined, as members of theirs that aren't heads share a bucket and are similar."""
-    met = written(open_cells(nodes, rows, heads, roots), "cells")
-    one = _wanted_bodies(docs, met.select("node").distinct())
+    met = open_cells(nodes, rows, heads, roots)
     return by_cell(met.join(one, "node").select("key", "i", "j", "root", "right", "body")).mapInArrow(cell_verifier(_set, SIMILARITY), "a long, b long").distinct()
 
 
 def roots_of(docs: DataFrame, units: DataFrame) -> DataFrame:
     """``node, root``: components of the links between different paragraphs, for every node but roots."""
-    nodes = written(units.filter(F.size("bands") > 0).select("node", "n", "bands").dropDuplicates(["node"]), "nodes")
+    nodes = written(units.filter(F.size("bands") > 0).select("node", "bands").dropDuplicates(["node"]), "nodes")
     rows, heads = buckets(nodes.select("node", F.explode("bands").alias("key")))
-    first = components(_head_links(docs, nodes, rows, heads))
-    return joined_roots(first, _other_links(docs, nodes, rows, heads, first))
+    wanted = rows.select("node").distinct()
+    one = written(_bodies(docs, sieve_of(wanted)).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bodies")
+    first = components(_head_links(one, rows, heads))
+    sizes = one.select("node", (F.octet_length("body") / 4).cast("long").alias("n"))
+    return joined_roots(first, _other_links(one, sizes, rows, heads, first))
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
