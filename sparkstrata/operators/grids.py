@@ -50,11 +50,9 @@ def distance(a: DataFrame, b: DataFrame, order: float = 1.0) -> DataFrame:
     return both.agg(F.pow(F.sum(F.pow(gap, order)), 1.0 / order).alias("distance"))
 
 
-def measure_kernel(a: DataFrame, b: DataFrame, sigma: float, kind: str = "gaussian", reach: float = 12.0) -> DataFrame:
-    """Sum of w w' k(x, y) over the terms that are at most ``reach`` * sigma apart in either axis.
-
-    Beyond the reach a term is below exp(-72) (Gaussian). Terms meet in cells of that size, not all by all.
-    """
+def measure_kernel(a: DataFrame, b: DataFrame, sigma: float, kind: str = "gaussian") -> DataFrame:
+    """Sum of w w' k(x, y) over all terms. They meet in cells beyond whose neighbours the kernel is 0 in doubles."""
+    reach = {"gaussian": 39.0, "laplacian": 746.0}[kind]
     side = max(1.0, reach * sigma)
     cell = lambda c: F.floor(F.col(c) / F.lit(side))
     shift = F.explode(F.array(*(F.lit(s) for s in (-1, 0, 1))))

@@ -102,37 +102,29 @@ def landscape_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.landscape_distance(a, b, 2.0).select(F.round(kernel(F.col("distance"), "gaussian", 400.0), 6).alias("kernel"))
 
 
-def _small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Diagrams of distinct bars by tax rate, returned and not: at most 550 bars each, whatever the table's size."""
-    item = read(spark, sf_dir, "lineitem")
-    b = F.floor(F.col("l_quantity") / 10).cast("long")
-    table = item.select(F.rint(F.col("l_tax") * 100).cast("long").alias("slice"), b.alias("birth"), (b + 1 + F.rint(F.col("l_discount") * 50).cast("long")).alias("death"), F.lit(1).alias("mult"), (F.col("l_returnflag") == "R").alias("back"), (F.col("l_linenumber") == 1).alias("first")).distinct()
-    return table.filter("back and first").drop("back", "first"), table.filter("not back and not first").drop("back", "first")
-
-
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = read(spark, sf_dir, "lineitem")
-    return item.select(F.rint(F.col("l_tax") * 100).cast("long").alias("slice")).distinct().select("slice", F.round(direction_weight(F.col("slice") + 1.0, F.lit(5.0)), 6).alias("weight"))
+    return item.select(F.col("l_suppkey").alias("slice")).distinct().select("slice", F.round(direction_weight(F.col("slice") + 1.0, F.lit(5.0)), 6).alias("weight"))
 
 
 @query("slice_bottleneck")
 def slice_bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.slice_distances(*_small(spark, sf_dir), "bottleneck").withColumn("distance", F.round("distance", 6))
+    return B.slice_distances(*_halves(spark, sf_dir), "bottleneck").withColumn("distance", F.round("distance", 6))
 
 
 @query("slice_wasserstein")
 def slice_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.slice_distances(*_small(spark, sf_dir), "wasserstein").withColumn("distance", F.round("distance", 6))
+    return B.slice_distances(*_halves(spark, sf_dir), "wasserstein").withColumn("distance", F.round("distance", 6))
 
 
 @query("matching_distance")
 def matching_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.matching_distance(*_small(spark, sf_dir), _weights(spark, sf_dir)).select(F.round("distance", 6).alias("distance"))
+    return B.matching_distance(*_halves(spark, sf_dir), _weights(spark, sf_dir)).select(F.round("distance", 6).alias("distance"))
 
 
 @query("sliced_wasserstein")
 def sliced_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.sliced_distance(*_small(spark, sf_dir), _weights(spark, sf_dir)).select(F.round("distance", 6).alias("distance"))
+    return B.sliced_distance(*_halves(spark, sf_dir), _weights(spark, sf_dir)).select(F.round("distance", 6).alias("distance"))
 
 
 @query("direction_weights", "WITH d AS (SELECT a.k AS a, b.k AS b FROM range(1, 9) a(k), range(1, 9) b(k) WHERE gcd(a.k, b.k) = 1) SELECT a, b, round(least(a, b) / CAST(a + b AS DOUBLE), 6) AS l1, round(least(a, b) / CAST(greatest(a, b) AS DOUBLE), 6) AS linf FROM d")

@@ -163,10 +163,10 @@ def downset_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.downset_closure(_generators(spark, sf_dir), S.grid_order(N, M, spark))
 
 
-@query("uptight_regions", f"WITH {GENS}, s AS (SELECT le.b AS q, string_agg(DISTINCT CAST(gen AS VARCHAR), ',' ORDER BY CAST(gen AS VARCHAR)) AS signature FROM gen JOIN le ON le.a = gen.q WHERE gen % 5 = 0 GROUP BY 1) SELECT signature, count(*) AS n, min(q) AS least FROM s GROUP BY signature")
+@query("uptight_regions", f"WITH {GENS}, s AS (SELECT le.b AS q, string_agg(DISTINCT CAST(gen AS VARCHAR), ',' ORDER BY CAST(gen AS VARCHAR)) AS signature FROM gen JOIN le ON le.a = gen.q GROUP BY 1) SELECT signature, count(*) AS n, min(q) AS least FROM s GROUP BY signature")
 def uptight_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of grid points by the upsets of every fifth generator."""
-    up = S.upset_closure(_generators(spark, sf_dir).filter("gen % 5 = 0"), S.grid_order(N, M, spark))  # a fringe of five upsets
+    """Classes of grid points by the upsets that hold them."""
+    up = S.upset_closure(_generators(spark, sf_dir), S.grid_order(N, M, spark))
     sig = S.uptight_regions(up.select(F.col("gen").cast("string").alias("gen"), "q"))
     return sig.select(F.array_join("signature", ",").alias("signature"), "n", "least")
 
