@@ -7,7 +7,6 @@ problems; they run in one grouped numpy kernel for each slice.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -163,60 +162,128 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def wasserstein(a: np.ndarray, b: np.ndarray, p: float = 2.0, q: float = np.inf) -> float:
-    c = _costs(a, b, q) ** p
-    return float(c[np.arange(len(c)), assignment(c)].sum() ** (1 / p)) if len(c) else 0.0
-
-
-def _perfect(allowed: np.ndarray) -> bool:
-    """Hopcroft-Karp: is there a perfect matching of the allowed pairs?"""
-    n = len(allowed)
-    rows, row_of, col_of = [np.flatnonzero(r) for r in allowed], np.full(n, -1), np.full(n, -1)
-    while True:
-        level, queue = np.where(col_of < 0, 0, -1), deque(np.flatnonzero(col_of < 0))
-        found = False
-        while queue:
-            r = queue.popleft()
-            for c in rows[r]:
-                s = row_of[c]
-                if s < 0:
-                    found = True
-                elif level[s] < 0:
-                    level[s] = level[r] + 1
-                    queue.append(s)
-        if not found:
-            return bool((col_of >= 0).all())
-        at = np.zeros(n, int)
-        for root in np.flatnonzero(col_of < 0):
-            path = [root]
-            while path:
-                r = path[-1]
-                if at[r] == len(rows[r]):
-                    path.pop()
-                    continue
-                c = rows[r][at[r]]
-                at[r] += 1
-                s = row_of[c]
-                if s < 0:
-                    for r in reversed(path):  # turn the path over
-                        c, col_of[r] = col_of[r], c
-                        row_of[col_of[r]] = r
+def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> np.ndarray:
+    """Least-cost flow that moves integer supplies (rows) to equal demands (columns): shortest augmenting paths.
+
+    A path moves as much as fits, so the work grows with distinct points, not with their counts.
+    """
+    n, m = cost.shape
+    u, v, flow, left = np.zeros(n), np.zeros(m), np.zeros((n, m), np.int64), demand.astype(np.int64).copy()
+    for row in range(n):
+        need = int(supply[row])
+        while need:
+            dist, back, used = np.full(m, np.inf), np.zeros(m, int), np.zeros(m, bool)
+            reached, fresh, at = {row: (0.0, -1)}, [row], 0.0
+            while True:
+                for r in fresh:
+                    slack = at + cost[r] - u[r] - v
+                    better = ~used & (slack < dist)
+                    dist[better], back[better] = slack[better], r
+                open_ = np.where(used, np.inf, dist)
+                col = int(open_.argmin())
+                at = float(open_[col])
+                used[col] = True
+                if left[col]:
                     break
-                if level[s] == level[r] + 1:
-                    path.append(s)
+                fresh = [int(r) for r in np.flatnonzero(flow[:, col]) if int(r) not in reached]
+                for r in fresh:
+                    reached[r] = (at, col)
+            path, c = [], col
+            while True:
+                r = int(back[c])
+                path.append((r, c, reached[r][1]))
+                if r == row:
+                    break
+                c = reached[r][1]
+            moved = min([need, int(left[col]), *(int(flow[r, out]) for r, _, out in path if r != row)])
+            for r, c, out in path:
+                flow[r, c] += moved
+                if r != row:
+                    flow[r, out] -= moved
+            for r, (d, _) in reached.items():
+                u[r] += at - d
+            v[used] -= at - dist[used]
+            left[col] -= moved
+            need -= moved
+    return flow
+
+
+def _counted(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(a, axis=0, return_counts=True) if len(a) else (a.reshape(0, 2), np.zeros(0, np.int64))
+
+
+def _ground(a: np.ndarray, b: np.ndarray, q: float) -> np.ndarray:
+    gap = np.abs(a[:, None, :] - b[None, :, :])
+    return gap.max(2) if np.isinf(q) else (gap**q).sum(2) ** (1 / q)
+
+
+def wasserstein(a: np.ndarray, b: np.ndarray, p: float = 2.0, q: float = np.inf) -> float:
+    """Exact, with the diagonal as one more point of each diagram that takes what is left."""
+    (x, m), (y, n) = _counted(a), _counted(b)
+    if not len(x) and not len(y):
+        return 0.0
+    half = 2 ** (1 / q - 1) if not np.isinf(q) else 0.5
+    c = np.zeros((len(x) + 1, len(y) + 1))
+    c[:-1, :-1] = _ground(x, y, q)
+    c[:-1, -1], c[-1, :-1] = (x[:, 1] - x[:, 0]) * half, (y[:, 1] - y[:, 0]) * half
+    c = c**p
+    return float((c * transport(c, np.append(m, n.sum()), np.append(n, m.sum()))).sum() ** (1 / p))
+
+
+def covers(allowed: np.ndarray) -> bool:
+    """Can every row have a column of its own among its allowed ones? Columns are bits of whole numbers."""
+    rows = [int.from_bytes(np.packbits(r, bitorder="little").tobytes(), "little") for r in allowed]
+    free, owner = (1 << allowed.shape[1]) - 1, {}
+    for i, own in enumerate(rows):
+        hit = own & free
+        seen, queue, back = 0, [i], {}
+        r = i
+        while not hit:
+            if not queue:
+                return False
+            r = queue.pop()
+            new = rows[r] & ~seen
+            seen |= new
+            hit = new & free
+            while new and not hit:
+                low = new & -new
+                new ^= low
+                c = low.bit_length() - 1
+                back[c] = r
+                queue.append(owner[c])
+        c = (hit & -hit).bit_length() - 1
+        free ^= 1 << c
+        taken = {x: k for k, x in owner.items()} if r != i else {}
+        while True:  # turn the path over
+            before = taken.get(r)
+            owner[c] = r
+            if r == i:
+                break
+            c = before
+            r = back[c]
+    return True
 
 
 def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact bottleneck distance: least candidate cost that allows a perfect matching."""
-    c = _costs(a, b, np.inf)
-    if not len(c):
+    """Exact bottleneck distance: the least candidate value at which both diagrams' longer bars can be matched.
+
+    Bars of at most twice the value may go to the diagonal. The others of either side need partners; if each side's can
+    be matched into the other diagram, some matching covers both at once (Mendelsohn and Dulmage).
+    """
+    if not len(a) and not len(b):
         return 0.0
-    # A matched pair of diagonal points is free.
-    values = np.unique(c)
+    c = _ground(a, b, np.inf) if len(a) and len(b) else np.zeros((len(a), len(b)))
+    x, y = (d[:, 1] - d[:, 0] if len(d) else np.zeros(0) for d in (a, b))
+    values = np.unique(np.concatenate((c.ravel(), x / 2, y / 2, [0.0])))
+
+    def fits(e: float) -> bool:
+        near = c <= e
+        return covers(near[x / 2 > e]) and covers(near.T[y / 2 > e])
+
     lo, hi = 0, len(values) - 1
     while lo < hi:
         mid = (lo + hi) // 2
-        if _perfect(c <= values[mid]):
+        if fits(values[mid]):
             hi = mid
         else:
             lo = mid + 1
