@@ -85,7 +85,7 @@ def image_table(spark: SparkSession, path: str) -> DataFrame:
 def distance_matrix(spark: SparkSession, path: str, part: str = "full", radius: float | None = None) -> DataFrame:
     """``u, v, d`` (u < v) from a full matrix, or its lower or upper triangle, with or without the diagonal.
 
-    A triangle's rows tell by their lengths whether the diagonal is there: the longest row has n entries with it.
+    A triangle of n rows of lengths 1 to n has the diagonal if all its places there are 0; else its points are n + 1.
     """
     rows = _numbered(spark, path)
     n_rows, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("parts"))).first()
@@ -98,13 +98,12 @@ def distance_matrix(spark: SparkSession, path: str, part: str = "full", radius:
             raise ValueError("the matrix isn't symmetric")
         out = flat.filter("r < c").select(F.col("r").cast("long").alias("u"), F.col("c").cast("long").alias("v"), "d")
     elif part == "lower":
-        first = rows.filter("row = 0").select(F.size("parts")).first()[0]
-        diagonal = first == 1 and longest == n_rows
-        shift = 0 if diagonal else 1
+        off = rows.filter((F.size("parts") != F.col("row") + 1) | (F.element_at("parts", -1).cast("double") != 0))
+        shift = 0 if off.isEmpty() else 1
         out = flat.select(F.col("c").cast("long").alias("u"), (F.col("r") + shift).cast("long").alias("v"), "d").filter("u < v")
     elif part == "upper":
-        last = rows.filter(F.col("row") == n_rows - 1).select(F.size("parts")).first()[0]
-        shift = 0 if last == 1 and longest == n_rows else 1
+        off = rows.filter((F.size("parts") != n_rows - F.col("row")) | (F.get("parts", F.lit(0)).cast("double") != 0))
+        shift = 0 if off.isEmpty() else 1
         out = flat.select(F.col("r").cast("long").alias("u"), (F.col("r") + F.col("c") + shift).cast("long").alias("v"), "d").filter("u < v")
     else:
         raise ValueError(f"unknown part {part}")
