@@ -44,7 +44,7 @@ def dtm_codensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dtm(points(spark, sf_dir), MASS, START).select("pid", _six("value").alias("value"))
 
 
-@query("density_grades", f"WITH {KNN}, f AS (SELECT a AS pid, d AS value FROM n WHERE rk = 2), e AS (SELECT a AS u, b AS v, d FROM n WHERE a < b AND d <= {RADIUS}e0) SELECT u, v, round(d, 6) AS g1, round(greatest(f1.value, f2.value), 6) AS g2 FROM e JOIN f f1 ON f1.pid = u JOIN f f2 ON f2.pid = v")
+@query("density_grades", f"WITH {KNN}, f AS (SELECT a AS pid, d AS value FROM n WHERE rk = 2), e AS (SELECT a.pid AS u, b.pid AS v, {PAIR} AS d FROM p a JOIN p b ON a.pid < b.pid WHERE {PAIR} <= {RADIUS}e0) SELECT u, v, round(d, 6) AS g1, round(greatest(f1.value, f2.value), 6) AS g2 FROM e JOIN f f1 ON f1.pid = u JOIN f f2 ON f2.pid = v")
 def density_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
     f = P.knn_distance(pts, 2, START)
@@ -69,7 +69,7 @@ for _agg, _sql in {"max": "greatest(lu, lv)", "min": "least(lu, lv)", "sum": "lu
     )(lambda spark, sf_dir, agg=_agg: _function_rips(spark, sf_dir, agg))
 
 
-@query("degree_rips_cells", f"WITH {E_SQL}, deg AS (SELECT pid, count(e.u) AS k FROM p LEFT JOIN e ON e.u = pid OR e.v = pid GROUP BY pid) SELECT u, v, round(d, 6) AS g1, greatest(a.k, b.k) AS g2 FROM e JOIN deg a ON a.pid = u JOIN deg b ON b.pid = v")
+@query("degree_rips_cells", f"WITH {E_SQL}, ends AS (SELECT u AS w FROM e UNION ALL SELECT v FROM e), deg AS (SELECT pid, count(w) AS k FROM p LEFT JOIN ends ON w = pid GROUP BY pid) SELECT u, v, round(d, 6) AS g1, greatest(a.k, b.k) AS g2 FROM e JOIN deg a ON a.pid = u JOIN deg b ON b.pid = v")
 def degree_rips_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
     edges = P.radius_edges(pts, RADIUS)
@@ -77,10 +77,10 @@ def degree_rips_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.filter("dim = 1").select(F.get("verts", F.lit(0)).alias("u"), F.get("verts", F.lit(1)).alias("v"), _six("g1").alias("g1"), "g2")
 
 
-@query("landmark_edges", f"WITH {edges_sql(3 * RADIUS)} SELECT u, v, round(d, 6) AS d FROM e WHERE u % 7 = 0 AND v % 7 = 0")
+@query("landmark_edges", f"WITH {edges_sql(3 * RADIUS)} SELECT u, v, round(d, 6) AS d FROM e WHERE lu = 0 AND lv = 0")
 def landmark_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    return P.landmark_edges(pts, pts.filter("pid % 7 = 0").select("pid"), 3 * RADIUS).select("u", "v", _six("d").alias("d"))  # the landmark set is the operator's argument
+    return P.landmark_edges(pts, pts.filter("label = 0").select("pid"), 3 * RADIUS).select("u", "v", _six("d").alias("d"))  # the landmarks: one class of points
 
 
 @query("lower_star_edges", f"WITH {E_SQL} SELECT e.u, e.v, round(d, 6) AS g1, round(greatest(a.x, b.x), 6) AS g2 FROM e JOIN p a ON a.pid = e.u JOIN p b ON b.pid = e.v")
@@ -120,7 +120,13 @@ def boundary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexes.boundary(_complex(spark, sf_dir)).select(name("verts").alias("cell"), name("face").alias("face"), "coeff")
 
 
-@query("boundary_squared")
+TWICE = (
+    f"{edges_sql(TRIANGLE_RADIUS)}, t AS (SELECT a.u, a.v, b.v AS w FROM e a JOIN e b ON a.v = b.u JOIN e c ON c.u = a.u AND c.v = b.v), "
+    "f AS (SELECT u, v, w, v AS x, w AS y, 1 AS s FROM t UNION ALL SELECT u, v, w, u, w, -1 FROM t UNION ALL SELECT u, v, w, u, v, 1 FROM t), g AS (SELECT u, v, w, y AS low, s FROM f UNION ALL SELECT u, v, w, x, -s FROM f)"
+)
+
+
+@query("boundary_squared", f"WITH {TWICE} SELECT CAST(coalesce(sum(CASE WHEN s <> 0 THEN 1 END), 0) AS BIGINT) AS n_bad FROM (SELECT sum(s) AS s FROM g GROUP BY u, v, w, low)")
 def boundary_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of boundary times boundary that aren't 0; there must be none, so the count is 0."""
     b = complexes.boundary(_complex(spark, sf_dir)).select("verts", "face", "coeff")
