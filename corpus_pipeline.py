@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-Stages keep all columns of what they read. Null texts pass the filters (they are neither toxic, nor leaks).
+All stages but the last keep all columns of what they read; the last gives token ids. Null texts pass the filters (they are neither toxic, nor leaks).
 """
 
 from __future__ import annotations
