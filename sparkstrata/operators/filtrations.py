@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import simplex_value
 from . import complexes, graphs
 from . import points as P
 
@@ -119,3 +120,67 @@ def rhomboid(data: DataFrame, radius: float, value: str, max_dim: int) -> DataFr
     low = _valued(data, v, radius, max_dim, "min").select("dim", "verts", F.col("g2").alias("low"))
     high = _valued(data, v, radius, max_dim, "max").select("verts", F.col("g2").alias("high"))
     return low.join(high, "verts").select("dim", "verts", F.col("low").alias("g1"), F.col("high").alias("g2"))
+
+
+@register("graph_weight_threshold", 1, ("edges",), lift="graph", weight="w")
+def graph_weight_threshold(data: DataFrame, edges: DataFrame, lift: str, weight: str) -> DataFrame:
+    """Vertices at 0, edges (u < v) at their weight; lift "clique" adds triangles at their largest edge."""
+    if lift not in ("graph", "clique"):
+        raise ValueError("lift must be graph or clique")
+    e = edges.select("u", "v", F.col(weight).cast("double").alias("d"))
+    cells = data.select(F.lit(0).alias("dim"), F.array("pid").alias("verts"), F.lit(0.0).alias("g1"))
+    cells = cells.unionByName(e.select(F.lit(1).alias("dim"), F.array("u", "v").alias("verts"), F.col("d").alias("g1")))
+    if lift == "clique":
+        cells = cells.unionByName(complexes.triangles(e).select(F.lit(2).alias("dim"), F.array("a", "b", "c").alias("verts"), F.col("d").alias("g1")))
+    return cells
+
+
+@register("graph_function_geodesic", 2, ("edges", "sources", "value"), weight=None, agg="max")
+def graph_function_geodesic(data: DataFrame, edges: DataFrame, sources: DataFrame, value: str, weight: str | None, agg: str) -> DataFrame:
+    """(distance to the nearest source, own value) of every vertex; edges aggregate their ends in both."""
+    far = graphs.geodesic(data, edges, sources, weight).withColumnRenamed("value", "far")
+    own = data.select("pid", F.col(value).cast("double").alias("own")).join(far, "pid")
+    ends = lambda c: own.select(F.col("pid").alias(c), F.col("far").alias(f"far_{c}"), F.col("own").alias(f"own_{c}"))
+    one = edges.select("u", "v").join(ends("u"), "u").join(ends("v"), "v")
+    zero = own.select(F.lit(0).alias("dim"), F.array("pid").alias("verts"), F.col("far").alias("g1"), F.col("own").alias("g2"))
+    grade = lambda c: simplex_value(agg, F.col(f"{c}_u"), F.col(f"{c}_v"))
+    return zero.unionByName(one.select(F.lit(1).alias("dim"), F.array("u", "v").alias("verts"), grade("far").alias("g1"), grade("own").alias("g2")))
+
+
+@register("wing_vein", 2, ("edges", "bbox"), grid=(32, 32))
+def wing_vein(data: DataFrame, edges: DataFrame, bbox: tuple[float, float, float, float], grid: tuple[int, int]) -> DataFrame:
+    """``dim, verts, g1, g2``: a drawn graph (``pid, x, y`` and ``u, v``) sampled on a grid over bbox = (x0, x1, y0, y1).
+
+    A sample's grades are minus its distance to the nearest vertex and its distance to the nearest edge, a cell's the
+    greatest of its corners'; by custom the first axis is read downwards. Every vertex and edge meets the samples, a
+    parameter's number of them, and minima are taken before rows move.
+    """
+    nx, ny = grid
+    x0, x1, y0, y1 = map(float, bbox)
+    at = lambda lo, hi, n, k: F.lit(lo) + k * F.lit((hi - lo) / max(n - 1, 1))
+
+    def sampled(rows: DataFrame) -> DataFrame:
+        k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx * ny - 1).cast("long"))).alias("k")
+        return rows.select("*", k).withColumn("px", at(x0, x1, nx, F.floor(F.col("k") / ny))).withColumn("py", at(y0, y1, ny, F.col("k") % ny))
+
+    ends = lambda c: data.select(F.col("pid").alias(c), F.col("x").cast("double").alias(f"x{c}"), F.col("y").cast("double").alias(f"y{c}"))
+    near = sampled(ends("u")).groupBy("k").agg((-F.min(F.hypot(F.col("px") - F.col("xu"), F.col("py") - F.col("yu")))).alias("g1"))
+    dx, dy = F.col("xv") - F.col("xu"), F.col("yv") - F.col("yu")
+    t = F.coalesce(F.try_divide(dx * (F.col("px") - F.col("xu")) + dy * (F.col("py") - F.col("yu")), dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    side = sampled(edges.select("u", "v").join(ends("u"), "u").join(ends("v"), "v")).groupBy("k").agg(F.min(F.hypot(F.col("px") - F.col("xu") - t * dx, F.col("py") - F.col("yu") - t * dy)).alias("g2"))
+    both = near.join(side, "k").select(F.floor(F.col("k") / ny).cast("long").alias("i"), (F.col("k") % ny).alias("j"), "g1", "g2")
+    names = ["dim", "i", "j", "di", "dj"]
+    one, two = (complexes.cubical_cells(both.select("i", "j", F.col(g).alias("value"))).select(*names, F.col("value").alias(g)) for g in ("g1", "g2"))
+    corner = lambda di, dj: (F.col("i") + di) * ny + F.col("j") + dj
+    verts = F.array_distinct(F.array(corner(0, 0), corner(0, F.col("dj")), corner(F.col("di"), 0), corner(F.col("di"), F.col("dj"))))
+    return one.join(two, names).select("dim", F.array_sort(verts).alias("verts"), "g1", "g2")
+
+
+@register("graded", 0)
+def graded(data: DataFrame) -> DataFrame:
+    """Cells with grades of their own (``dim, verts, g1[, g2...]``), as they are."""
+    missing = {"dim", "verts", "g1"} - set(data.columns)
+    if missing:
+        raise ValueError(f"graded cells lack {sorted(missing)}")
+    return data

@@ -103,8 +103,11 @@ def landscape_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = read(spark, sf_dir, "lineitem")
-    return item.select(F.col("l_suppkey").alias("slice")).distinct().select("slice", F.round(direction_weight(F.col("slice") + 1.0, F.lit(5.0)), 6).alias("weight"))
+    return slice_weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+
+
+def slice_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("slice")).distinct().select("slice", direction_weight(F.col("slice") + 1.0, F.lit(5.0)).alias("weight"))
 
 
 @query("slice_bottleneck")

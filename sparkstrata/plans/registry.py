@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import bar_queries, feature_queries, geometry_queries, grid_queries, module_queries, point_queries, region_queries, source_queries  # noqa: F401
+    from . import bar_queries, feature_queries, flange_queries, geometry_queries, grid_queries, module_queries, point_queries, region_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
