@@ -77,21 +77,29 @@ def core_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, weight: str | None = None, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
-    """``pid, value``: power iteration until the largest change is below the tolerance; dangling mass is spread evenly."""
+    """``pid, value``: ranks that sum to 1, iterated until the largest change is below the tolerance; dangling mass is spread evenly.
+
+    Spreading dangling mass only scales the ranks, so rounds leave it out and the end is scaled. A few rounds make one
+    plan, a join and a sum each; then the ranks are written and compared with those before.
+    """
+    together = 5
     n = vertices.count()
     arcs = both_ways(edges, weight)
-    arcs = cut(arcs.join(arcs.groupBy("u").agg(F.sum("w").alias("all")), "u").select("u", "v", (F.col("w") / F.col("all")).alias("p")))
-    now = cut(vertices.select("pid", F.lit(1.0 / max(n, 1)).alias("value")).join(arcs.select(F.col("u").alias("pid"), F.lit(True).alias("out")).distinct(), "pid", "left"))
-    for _ in range(rounds):
-        loose = now.filter(F.col("out").isNull()).agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
-        got = arcs.join(now.select(F.col("pid").alias("u"), "value"), "u").groupBy(F.col("v").alias("pid")).agg(F.sum(F.col("value") * F.col("p")).alias("s"))
-        base = (1 - damping) / n + damping * loose / n
-        then = cut(now.join(got, "pid", "left").select("pid", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("value"), "out", F.col("value").alias("old")))
-        gap = then.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
-        now = then.drop("old")
+    arcs = cut(arcs.join(arcs.groupBy("u").agg(F.sum("w").alias("all")), "u").select("u", F.col("v").alias("pid"), (F.col("w") / F.col("all") * damping).alias("p")))
+    now = cut(vertices.select("pid", F.lit(1.0 / max(n, 1)).alias("value")))
+    base = vertices.select("pid", F.lit((1 - damping) / max(n, 1)).alias("value"))
+    for _ in range(-(-rounds // together)):
+        then = now
+        for _ in range(together):
+            got = arcs.join(then.select(F.col("pid").alias("u"), "value"), "u").select("pid", (F.col("value") * F.col("p")).alias("value"))
+            then = got.unionByName(base).groupBy("pid").agg(F.sum("value").alias("value"))
+        then = cut(then)
+        gap = then.join(now.withColumnRenamed("value", "old"), "pid").agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
+        now = then
         if gap is None or gap < tolerance:
             break
-    return now.select("pid", "value")
+    total = now.agg(F.sum("value")).first()[0] or 1.0
+    return now.select("pid", (F.col("value") / F.lit(total)).alias("value"))
 
 
 def eigenvector(vertices: DataFrame, edges: DataFrame, weight: str | None = None, rounds: int = 500, tolerance: float = 1e-10) -> DataFrame:

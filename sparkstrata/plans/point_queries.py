@@ -255,17 +255,43 @@ def graph_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.modularity(labels, e).select(_six("modularity").alias("modularity"))
 
 
-@query("graph_pagerank")
+# 150 rounds from even values; dangling mass is spread evenly.
+_PAGERANK = (
+    f"WITH RECURSIVE {GRAPH}, deg AS (SELECT u, count(*) AS k FROM arcs GROUP BY u), nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM gv), r AS (SELECT 0 AS k, pid, 1 / n AS value FROM gv, nn UNION ALL "
+    "SELECT (SELECT max(k) + 1 FROM r) AS k, gv.pid, 0.15e0 / n + 0.85e0 / n * (SELECT coalesce(sum(value), 0) FROM r WHERE pid NOT IN (SELECT u FROM deg)) + 0.85e0 * coalesce(s.s, 0) FROM gv CROSS JOIN nn "
+    "LEFT JOIN (SELECT arcs.v, sum(r.value / deg.k) AS s FROM r JOIN arcs ON arcs.u = r.pid JOIN deg ON deg.u = r.pid GROUP BY arcs.v) s ON s.v = gv.pid WHERE (SELECT max(k) FROM r) < 150) SELECT pid, round(value, 6) AS value FROM r WHERE k = 150"
+)
+
+
+@query("graph_pagerank", _PAGERANK)
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.pagerank(*graph(spark, sf_dir)).select("pid", _six("value").alias("value"))
 
 
-@query("graph_core_numbers")
+# h-indices of the neighbours' values, from the degrees; 30 rounds are more than there are vertices.
+_CORES = (
+    f"WITH RECURSIVE {GRAPH}, c AS (SELECT 0 AS k, pid, count(arcs.u) AS value FROM gv LEFT JOIN arcs ON arcs.u = pid GROUP BY pid UNION ALL SELECT max(s.k) + 1, s.pid, max(least(s.value, s.place)) FROM "
+    "(SELECT c.k, arcs.u AS pid, c.value, row_number() OVER (PARTITION BY arcs.u ORDER BY c.value DESC) AS place FROM c JOIN arcs ON arcs.v = c.pid WHERE c.k < 30) s GROUP BY s.pid) "
+    "SELECT gv.pid, coalesce(c.value, 0) AS value FROM gv LEFT JOIN c ON c.pid = gv.pid AND c.k = 30"
+)
+
+
+@query("graph_core_numbers", _CORES)
 def graph_core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.core_numbers(*graph(spark, sf_dir))
 
 
-@query("h0_deaths")
+# Edges without a point nearer to both ends, in order of length, one a round; a list holds every point's class.
+_KRUSKAL = (
+    f"WITH RECURSIVE {edges_sql(RADIUS)}, num AS (SELECT pid, row_number() OVER (ORDER BY pid) AS i FROM p), al AS (SELECT row_number() OVER (ORDER BY d, u, v) AS k, a.i AS a, b.i AS b, d FROM e JOIN num a ON a.pid = u JOIN num b ON b.pid = v), "
+    "wy AS (SELECT k, a, b FROM al UNION ALL SELECT k, b, a FROM al), es AS (SELECT row_number() OVER (ORDER BY k) AS k, a, b, d FROM al WHERE k NOT IN (SELECT al.k FROM al JOIN wy x ON x.a = al.a AND x.k < al.k JOIN wy y ON y.a = al.b AND y.b = x.b AND y.k < al.k)), "
+    "r AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i ORDER BY i) FROM num) AS cls, false AS used, 0e0 AS d UNION ALL "
+    "SELECT es.k, CASE WHEN cls[a] <> cls[b] THEN list_transform(cls, lambda x: CASE WHEN x = cls[b] THEN cls[a] ELSE x END) ELSE cls END, cls[a] <> cls[b], es.d FROM r JOIN es ON es.k = r.k + 1) "
+    "SELECT CAST(round_even(d / 0.001e0, 0) AS BIGINT) AS death, count(*) AS mult FROM r WHERE used GROUP BY 1"
+)
+
+
+@query("h0_deaths", _KRUSKAL)
 def h0_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degree-0 bars of the Rips filtration: [0, d) for each edge of the least spanning forest."""
     forest = graphs.spanning_forest(P.radius_edges(points(spark, sf_dir), RADIUS))
