@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sign, simplex_value
+from ..functions.store import cut, numbered
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -49,7 +50,9 @@ def boundary(cells: DataFrame) -> DataFrame:
 def axes(cells: DataFrame, *grades: str) -> DataFrame:
     """``axis, pos, value``: sorted distinct grades of each axis; positions count from 1."""
     long = cells.select(F.explode(F.array(*(F.struct(F.lit(i + 1).alias("axis"), F.col(g).cast("double").alias("value")) for i, g in enumerate(grades)))).alias("s")).select("s.*").distinct()
-    return long.select("axis", F.row_number().over(Window.partitionBy("axis").orderBy("value")).alias("pos"), "value")
+    placed = cut(numbered(long, "axis", "value"))
+    first = placed.groupBy("axis").agg(F.min("pos").alias("first"))
+    return placed.join(F.broadcast(first), "axis").select("axis", (F.col("pos") - F.col("first") + 1).cast("int").alias("pos"), "value")  # a row an axis
 
 
 def coarsen(axis: DataFrame, max_len: int) -> DataFrame:

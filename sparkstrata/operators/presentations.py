@@ -7,18 +7,23 @@ and is written as a predicate. Fibre dimensions are ranks of small submatrices,
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import rank
+from ..functions.store import numbered
+
+SENT = 100_000
+BLOCKS = 64
 
 
 def breakpoints(boxes: DataFrame, axis: str) -> DataFrame:
     """``pos, value``: sorted distinct bounds of one axis (``lo_<axis>`` of upsets, ``hi_<axis>`` of downsets)."""
     both = boxes.select(F.col(f"lo_{axis}").alias("value")).unionByName(boxes.select(F.col(f"hi_{axis}").alias("value"))).filter("value is not null").distinct()
-    # One row for each bound of the presentation; row numbers come from blocks of hashed order-preserving ranges.
-    return both.select(F.row_number().over(Window.orderBy("value")).alias("pos"), "value")
+    return numbered(both, "value").select(F.col("pos").cast("int").alias("pos"), "value")
 
 
 def cells(boxes: DataFrame) -> DataFrame:
@@ -29,15 +34,25 @@ def cells(boxes: DataFrame) -> DataFrame:
 def signatures(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """``x, y, ups, downs``: ids of the upsets (lo <= point) and downsets (point <= hi) that hold each point.
 
-    Null bounds are free directions. A range join of representatives with generators: both come from the presentation.
+    Null bounds are free directions. Up to ``SENT`` generators are sent to all tasks; more are spread over blocks of x,
+    cut at quantiles of the points, and meet only the points of the blocks they reach.
     """
-    up = F.broadcast(boxes.filter("kind = 'up'"))
-    down = F.broadcast(boxes.filter("kind = 'down'"))
     inside = (F.col("lo_x").isNull() | (F.col("lo_x") <= F.col("x"))) & (F.col("lo_y").isNull() | (F.col("lo_y") <= F.col("y")))
     below = (F.col("hi_x").isNull() | (F.col("x") <= F.col("hi_x"))) & (F.col("hi_y").isNull() | (F.col("y") <= F.col("hi_y")))
-    ups = points.join(up, inside, "left").groupBy("x", "y").agg(F.array_sort(F.collect_set("gen")).alias("ups"))
-    downs = points.join(down, below, "left").groupBy("x", "y").agg(F.array_sort(F.collect_set("gen")).alias("downs"))
-    return ups.join(downs, ["x", "y"])
+    up, down = boxes.filter("kind = 'up'"), boxes.filter("kind = 'down'")
+    if boxes.count() <= SENT:
+        held = points.join(F.broadcast(up), inside).select("x", "y", F.col("gen").alias("up"), F.lit(None).cast("int").alias("down"))
+        held = held.unionByName(points.join(F.broadcast(down), below).select("x", "y", F.lit(None).cast("int").alias("up"), F.col("gen").alias("down")))
+    else:
+        cuts = sorted(set(points.approxQuantile("x", [k / BLOCKS for k in range(1, BLOCKS)], 0.01)))
+        block = lambda c: F.size(F.filter(F.array(*(F.lit(float(v)) for v in cuts)), lambda v: v <= c.cast("double")))
+        at = points.withColumn("_b", block(F.col("x")))
+        rising = up.withColumn("_b", F.explode(F.sequence(F.when(F.col("lo_x").isNull(), F.lit(0)).otherwise(block(F.col("lo_x"))), F.lit(len(cuts)))))
+        falling = down.withColumn("_b", F.explode(F.sequence(F.lit(0), F.when(F.col("hi_x").isNull(), F.lit(len(cuts))).otherwise(block(F.col("hi_x"))))))
+        held = at.join(rising, "_b").filter(inside).select("x", "y", F.col("gen").alias("up"), F.lit(None).cast("int").alias("down"))
+        held = held.unionByName(at.join(falling, "_b").filter(below).select("x", "y", F.lit(None).cast("int").alias("up"), F.col("gen").alias("down")))
+    every = points.select("x", "y", F.lit(None).cast("int").alias("up"), F.lit(None).cast("int").alias("down"))
+    return held.unionByName(every).groupBy("x", "y").agg(F.array_sort(F.collect_set("up")).alias("ups"), F.array_sort(F.collect_set("down")).alias("downs"))
 
 
 def regions(signed: DataFrame) -> DataFrame:
@@ -60,17 +75,20 @@ def region_order(found: DataFrame) -> DataFrame:
 
 def fiber_dimensions(found: DataFrame, phi: DataFrame, field: int | str | None = None) -> DataFrame:
     """``ups, downs, dim``: rank of phi (``down, up, num, den``) on each region's downsets and upsets."""
-    from fractions import Fraction
-
-    local = [(r["down"], r["up"], Fraction(r["num"], r["den"])) for r in phi.collect()]  # the presentation's matrix
-    at = {(d, u): v for d, u, v in local}
+    at = found.select("ups", "downs")
+    entries = at.withColumn("up", F.explode("ups")).join(phi.filter("num <> 0"), "up").filter(F.array_contains("downs", F.col("down")))
+    held = entries.groupBy("ups", "downs").agg(F.collect_list(F.struct("down", "up", "num", "den")).alias("phi"))
 
     def run(it):
         for pdf in it:
-            dims = [rank([[at.get((d, u), 0) for u in ups] for d in downs], field) if len(ups) and len(downs) else 0 for ups, downs in zip(pdf["ups"], pdf["downs"], strict=True)]
+            dims = []
+            for ups, downs, phi in zip(pdf["ups"], pdf["downs"], pdf["phi"], strict=True):
+                value = {(e["down"], e["up"]): Fraction(int(e["num"]), int(e["den"])) for e in phi}
+                dims.append(rank([[value.get((d, u), 0) for u in ups] for d in downs], field))
             yield pd.DataFrame({"ups": pdf["ups"], "downs": pdf["downs"], "dim": dims})
 
-    return found.select("ups", "downs").mapInPandas(run, "ups array<int>, downs array<int>, dim int")
+    ranked = held.mapInPandas(run, "ups array<int>, downs array<int>, dim int")
+    return at.join(ranked, ["ups", "downs"], "left").select("ups", "downs", F.coalesce("dim", F.lit(0)).alias("dim"))
 
 
 def upset_closure(generators: DataFrame, order: DataFrame) -> DataFrame:
