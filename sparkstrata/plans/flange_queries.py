@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import shared_dir
 from ..operators import bars as B
 from ..operators import filtrations as T
 from ..operators import flanges as L
 from ..operators import modules as M
 from ..operators import slices as S
+from ..sources import files
 from .bar_queries import slice_weights
 from .module_queries import CHAIN, COVERS, SPANS, _spans
 from .registry import query
@@ -81,6 +85,21 @@ def flange_to_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_axis(_flange(spark, sf_dir)[0]).select("gen", "kind", F.array_join(place, ",").alias("corner"))
 
 
+@query(
+    "flange_json",
+    f"WITH {FLANGE}, num AS (SELECT *, CAST(row_number() OVER (ORDER BY gen) - 1 AS INTEGER) AS i FROM fl) SELECT i AS gen, 'up' AS kind, lx AS x, ly AS y, CAST(i AS VARCHAR) || ':-2/7' AS phi FROM num UNION ALL SELECT i, 'down', hx, hy, CAST(i AS VARCHAR) || ':-2/7' FROM num",
+)
+def flange_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, loaded and shown with each generator's entries of phi, here -2/7 on the diagonal."""
+    gens, phi = _flange(spark, sf_dir)
+    path = f"{shared_dir(spark)}/flange-{uuid.uuid4().hex}.json"
+    files.save_flange_json(gens, phi.withColumn("num", F.lit(-2).cast("long")).withColumn("den", F.lit(7).cast("long")), path)
+    gens, phi = files.load_flange_json(spark, path)
+    text = lambda c: F.concat(F.col(c), F.lit(":"), "num", F.lit("/"), "den")
+    entry = phi.select(F.col("up").alias("gen"), F.lit("up").alias("kind"), text("down").alias("phi")).unionByName(phi.select(F.col("down").alias("gen"), F.lit("down").alias("kind"), text("up").alias("phi")))
+    return gens.join(entry, ["gen", "kind"], "left").select("gen", "kind", F.coalesce("lo_x", "hi_x").alias("x"), F.coalesce("lo_y", "hi_y").alias("y"), "phi")
+
+
 # Slice plans
 
 _DIRS = "dir AS (SELECT a.k AS a, b.k AS b, row_number() OVER (ORDER BY b.k / CAST(a.k AS DOUBLE)) AS p FROM range(1, 9) a(k), range(1, 9) b(k) WHERE gcd(a.k, b.k) = 1)"

@@ -129,6 +129,24 @@ for _format in ("csv", "parquet"):
     query(f"file_features_{_format}", f"WITH {NAT} SELECT k, r, r / 2e0 AS f FROM nat")(_features)
 
 
+@query("file_load_points", f"WITH {NAT} SELECT k + 0.5e0 AS x, CAST(r AS DOUBLE) AS y FROM nat")
+def file_load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited file whose kind is found by looking at it."""
+    lines = _nations(spark, sf_dir).select("k", F.concat_ws(",", (F.col("k") + 0.5).cast("string"), "r").alias("line"))
+    return files.load(spark, _file(_with_header(lines, "x,y"), "csv")).select(F.get("coords", F.lit(0)).alias("x"), F.get("coords", F.lit(1)).alias("y"))
+
+
+@query("file_load_graph", f"WITH {NAT} SELECT k + 1 AS u, k + 2 + r AS v, 1e0 AS w FROM nat")
+def file_load_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _nations(spark, sf_dir).select("k", F.concat_ws("\t", F.col("k") + 2 + F.col("r"), F.col("k") + 1).alias("line"))
+    return files.load(spark, _file(_with_header(lines, "u\tv"), "tsv"))
+
+
+@query("file_load_distance", f"WITH {DIST} SELECT u, v, d FROM dist WHERE u < v AND d <= 6")
+def file_load_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.load(spark, _file(_rows(spark, sf_dir, F.expr("c <= k"))), "distance", part="lower", radius=6.0)
+
+
 # ---- synthetic objects ----
 
 

@@ -206,3 +206,98 @@ def save_features(df: DataFrame, path: str, format: str = "parquet") -> None:  #
 
 def load_features(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:  # noqa: A002
     return spark.read.format(format).options(**({"header": "true", "inferSchema": "true"} if format == "csv" else {})).load(path)
+
+
+_READERS = {
+    "points": {"csv": point_table, "tsv": point_table, "txt": points},
+    "graph": {"csv": edge_table, "tsv": edge_table, "txt": edge_table},
+    "image": {"csv": image_table, "tsv": image_table, "txt": image_table},
+    "distance": {"csv": distance_matrix, "tsv": distance_matrix, "txt": distance_matrix, "bin": binary_lower_distance},
+    "complex": {"txt": simplex_lines, "json": simplex_json},
+    "features": {"parquet": lambda spark, path, **more: load_features(spark, path, "parquet", **more)},
+}
+
+
+def load(spark: SparkSession, path: str, kind: str = "auto", **options) -> DataFrame:
+    """Any readable file by its suffix and kind (points, graph, image, distance, complex, features); options go to its reader.
+
+    Without a kind a delimited file is looked at: columns u and v make a graph, else it is points; JSON is a complex,
+    Parquet features and a binary file a distance matrix.
+    """
+    form = format_of(path)
+    if kind == "auto":
+        kind = {"json": "complex", "parquet": "features", "bin": "distance", "txt": "points"}.get(form) or ("graph" if inspect(spark, path, 0)["kind"] == "graph" else "points")
+    reader = _READERS.get(kind, {}).get(form)
+    if reader is None:
+        raise ValueError(f"a {form} file can't be read as {kind}")
+    return reader(spark, path, **options)
+
+
+def _exact(num, den):
+    """An exact fraction as the text ``num/den``, whole numbers without their denominator."""
+    return F.when(den == 1, num.cast("string")).otherwise(F.concat(num.cast("string"), F.lit("/"), den.cast("string")))
+
+
+def save_flange_json(gens: DataFrame, phi: DataFrame, path: str) -> None:
+    """A flange (tables as in ``operators.flanges``) as one JSON document: corners ``b``, free axes ``tau`` from 1, a dense phi.
+
+    Corners of free axes are written as 0. The document is one line of one file, as large as the presentation.
+    """
+    spark = gens.sparkSession
+    doc = F.lit(0).alias("one")
+
+    def side(kind: str, x: str, y: str) -> DataFrame:
+        free = F.filter(F.array(F.when(F.col(x).isNull(), 1), F.when(F.col(y).isNull(), 2)), lambda t: t.isNotNull())
+        b = F.array(F.coalesce(F.col(x), F.lit(0)).cast("long"), F.coalesce(F.col(y), F.lit(0)).cast("long"))
+        return gens.filter(F.col("kind") == kind).select(doc, "gen", F.struct(b.alias("b"), free.alias("tau")).alias("g"))
+
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("gen", c))), lambda t: t[c])
+    ups, downs = side("up", "lo_x", "lo_y"), side("down", "hi_x", "hi_y")
+    pairs = downs.select("one", F.col("gen").alias("down")).join(ups.select("one", F.col("gen").alias("up")), "one")  # the dense matrix itself
+    cells = pairs.join(phi.select("down", "up", _exact(F.col("num"), F.col("den")).alias("v")), ["down", "up"], "left").select("one", "down", F.col("up").alias("gen"), F.coalesce("v", F.lit("0")).alias("v"))
+    rows = cells.groupBy("one", "down").agg(in_order("v").alias("v")).select("one", F.col("down").alias("gen"), "v").groupBy("one").agg(in_order("v").alias("phi"))
+    whole = ups.groupBy("one").agg(in_order("g").alias("flats")).join(downs.groupBy("one").agg(in_order("g").alias("injectives")), "one").join(rows, "one")
+    head = [F.lit("FlangeZn").alias("kind"), F.lit(2).alias("n"), F.struct(F.lit("qq").alias("kind")).alias("coeff_field")]
+    whole.select(F.to_json(F.struct(*head, "flats", "injectives", "phi")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_flange_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(gens, phi) of a two-parameter flange document; generators are numbered from 0, zeros of phi are left out."""
+    side = "array<struct<b: array<bigint>, tau: array<int>>>"
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"kind string, n int, flats {side}, injectives {side}, phi array<array<string>>").alias("d")).select("d.*")
+    kind = text.first()
+    if kind is None or kind["kind"] != "FlangeZn" or kind["n"] != 2:
+        raise ValueError(f"{path} isn't a flange of two parameters")
+
+    def gens(column: str, kind: str) -> DataFrame:
+        rows = text.select(F.posexplode(column).alias("gen", "g"))
+        at = lambda k: F.when(~F.array_contains("g.tau", k + 1), F.col("g.b")[k])
+        low = [at(0), at(1)] if kind == "up" else [F.lit(None).cast("long")] * 2
+        high = [at(0), at(1)] if kind == "down" else [F.lit(None).cast("long")] * 2
+        return rows.select("gen", F.lit(kind).alias("kind"), *(c.alias(n) for c, n in zip(low + high, ("lo_x", "lo_y", "hi_x", "hi_y"), strict=True)))
+
+    cells = text.select(F.posexplode("phi").alias("down", "row")).select("down", F.posexplode("row").alias("up", "v"))
+    part = F.split("v", "/")
+    phi = cells.select("down", "up", part[0].cast("long").alias("num"), F.coalesce(F.get(part, F.lit(1)).cast("long"), F.lit(1).cast("long")).alias("den"))
+    return gens("flats", "up").unionByName(gens("injectives", "down")), phi.filter("num <> 0")
+
+
+def save_features_npz(df: DataFrame, path: str, id_column: str = "id") -> None:
+    """A feature table as one file of arrays: ``X`` (rows by features), ``names``, ``ids``; rows go through Arrow to the driver's file.
+
+    The format is one file written by one process; tables beyond its memory belong in Parquet.
+    """
+    import numpy as np
+
+    names = [c for c in df.columns if c != id_column]
+    table = df.orderBy(id_column).toPandas()
+    np.savez(path, X=table[names].to_numpy(float), names=np.array(names, dtype=str), ids=table[id_column].astype(str).to_numpy(dtype=str))
+
+
+def load_features_npz(spark: SparkSession, path: str, id_column: str = "id") -> DataFrame:
+    import numpy as np
+
+    with np.load(path, allow_pickle=False) as held:
+        table = pd.DataFrame(held["X"], columns=list(map(str, held["names"])))
+        table.insert(0, id_column, held["ids"].astype(str))
+    return spark.createDataFrame(table)

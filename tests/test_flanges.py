@@ -88,3 +88,19 @@ def test_filtrations_check_their_parameters(spark):
         T.build("graph_weight_threshold", v, edges=e, lift="star")
     with pytest.raises(ValueError):
         T.build("graded", v)
+
+
+def test_flange_and_feature_files_come_back(spark, tmp_path):
+    from sparkstrata.sources import files
+
+    ups, downs, phi = random_flange(6)
+    files.save_flange_json(spark.createDataFrame(ups + downs, GENS), spark.createDataFrame(phi, PHI), str(tmp_path / "f.json"))
+    gens, entries = files.load_flange_json(spark, str(tmp_path / "f.json"))
+    assert sorted(map(str, gens.collect())) == sorted(map(str, spark.createDataFrame(ups + downs, GENS).collect()))
+    assert sorted((r["down"], r["up"], Fraction(r["num"], r["den"])) for r in entries.collect()) == sorted((d, u, Fraction(n, e)) for d, u, n, e in phi if n)
+    table = spark.createDataFrame([("a", 1.5, None), ("b", 2.0, 3.0)], "id string, f double, g double")
+    files.save_features_npz(table, str(tmp_path / "x.npz"))
+    back = files.load_features_npz(spark, str(tmp_path / "x.npz"))
+    assert back.columns == table.columns and back.filter("id = 'b'").first()["g"] == 3.0
+    with pytest.raises(ValueError):
+        files.load(spark, str(tmp_path / "f.json"), "image")
