@@ -164,7 +164,7 @@ def wing_vein(data: DataFrame, edges: DataFrame, bbox: tuple[float, float, float
         return rows.select("*", k).withColumn("px", at(x0, x1, nx, F.floor(F.col("k") / ny))).withColumn("py", at(y0, y1, ny, F.col("k") % ny))
 
     ends = lambda c: data.select(F.col("pid").alias(c), F.col("x").cast("double").alias(f"x{c}"), F.col("y").cast("double").alias(f"y{c}"))
-    near = sampled(ends("u")).groupBy("k").agg((-F.min(F.hypot(F.col("px") - F.col("xu"), F.col("py") - F.col("yu")))).alias("g1"))
+    near = sampled(ends("u")).groupBy("k").agg((F.lit(0.0) - F.min(F.hypot(F.col("px") - F.col("xu"), F.col("py") - F.col("yu")))).alias("g1"))
     dx, dy = F.col("xv") - F.col("xu"), F.col("yv") - F.col("yu")
     t = F.coalesce(F.try_divide(dx * (F.col("px") - F.col("xu")) + dy * (F.col("py") - F.col("yu")), dx * dx + dy * dy), F.lit(0.0))
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))

@@ -258,7 +258,7 @@ _SEG = (
     f"{GRAPH}, spot AS (SELECT pid, CAST(pid % 5 AS DOUBLE) AS x, CAST(pid // 5 AS DOUBLE) AS y FROM gv), px AS (SELECT i, j, i * 0.5e0 AS x, j * 0.5e0 AS y FROM range(9) a(i), range(9) b(j)), "
     "sg AS (SELECT a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM ge JOIN spot a ON a.pid = u JOIN spot b ON b.pid = v), "
     "tt AS (SELECT i, j, px.x, px.y, ax, ay, dx, dy, least(greatest((dx * (px.x - ax) + dy * (px.y - ay)) / (dx * dx + dy * dy), 0), 1) AS t FROM px, sg), "
-    "ds AS (SELECT i, j, min(sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)) AS e FROM tt GROUP BY ALL), dv AS (SELECT i, j, -min(sqrt((px.x - spot.x) ** 2 + (px.y - spot.y) ** 2)) AS v FROM px, spot GROUP BY ALL), "
+    "ds AS (SELECT i, j, min(sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)) AS e FROM tt GROUP BY ALL), dv AS (SELECT i, j, 0e0 - min(sqrt((px.x - spot.x) ** 2 + (px.y - spot.y) ** 2)) AS v FROM px, spot GROUP BY ALL), "
     "im AS (SELECT i, j, v, e FROM ds JOIN dv USING (i, j)), ext AS (SELECT a.di, b.dj FROM range(2) a(di), range(2) b(dj)), "
     "cell AS (SELECT o.di + o.dj AS dim, m.i, m.j, o.di, o.dj, max(n.v) AS g1, max(n.e) AS g2 FROM im m, ext o JOIN im n ON n.i BETWEEN m.i AND m.i + o.di AND n.j BETWEEN m.j AND m.j + o.dj GROUP BY ALL HAVING count(*) = (1 + o.di) * (1 + o.dj))"
 )
@@ -270,7 +270,7 @@ def filtration_wing_vein(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = graph(spark, sf_dir)
     drawn = v.select("pid", (F.col("pid") % 5).alias("x"), F.floor(F.col("pid") / 5).alias("y"))
     cells = T.build("wing_vein", drawn, edges=e, bbox=(0.0, 4.0, 0.0, 4.0), grid=(9, 9))
-    return cells.select("dim", *(F.round(F.col(c) + F.lit(0.0), 6).alias(c) for c in ("g1", "g2"))).groupBy("dim", "g1", "g2").agg(F.count(F.lit(1)).alias("n"))
+    return cells.select("dim", *(F.round(c, 6).alias(c) for c in ("g1", "g2"))).groupBy("dim", "g1", "g2").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Kan extensions along p -> (p + 1) / 2 + 1 from the chain 1..7 to the chain 1..6: nothing maps to 1 and 6.
