@@ -34,6 +34,10 @@ def near_pairs(points: DataFrame, radius: float, axes: tuple[str, ...] = AXES, l
     return met.filter(F.col("a") != F.col("b")).select("a", "b", distance("p", "q", axes).alias("d")).filter(F.col("d") <= radius)
 
 
+def repeated_ids(points: DataFrame) -> bool:
+    return not points.filter("pid IS NOT NULL").groupBy("pid").count().filter("count > 1").isEmpty()
+
+
 def stars(points: DataFrame, radius: float, axes: tuple[str, ...] = AXES, carry: tuple[str, ...] = (), both: bool = False) -> DataFrame:
     """``own, near``: each point (pid, axes, ``carry``) with its points within the radius (d, pid, axes, ``carry``).
 
@@ -129,4 +133,15 @@ def without_dominated(edges: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     both = edges.select("u", "v", "d").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
     left, right = both.select("u", F.col("v").alias("w"), F.col("d").alias("d1")), both.select("v", F.col("u").alias("w"), F.col("d").alias("d2"))
     seen = edges.join(left, "u").join(right, ["v", "w"]).filter(F.greatest("d1", "d2") <= F.col("d") + tolerance)
-    return edges.join(seen.select("u", "v").distinct(), ["u", "v"], "left_anti")
+    return edges.join(seen.select("u", "v", "d").distinct(), ["u", "v", "d"], "left_anti")
+
+
+def undominated_radius_edges(points: DataFrame, radius: float, axes: tuple[str, ...] = AXES, tolerance: float = 1e-12) -> DataFrame:
+    """``without_dominated`` of the radius edges; a dominating point is looked for in the star of u, the nearest first."""
+    if repeated_ids(points):
+        return without_dominated(radius_edges(points, radius, axes), tolerance)
+    pairs = stars(points, radius, axes, both=True).select("own", "near", F.explode("near").alias("q")).filter("own.pid < q.pid")
+    apart = lambda w: F.sqrt(sum(((F.col(f"q.{c}") - w[c]) * (F.col(f"q.{c}") - w[c]) for c in axes[1:]), (F.col(f"q.{axes[0]}") - w[axes[0]]) * (F.col(f"q.{axes[0]}") - w[axes[0]])))
+    longest = F.col("q.d") + F.lit(tolerance)
+    seen = F.exists("near", lambda w: (w["d"] <= longest) & (w["pid"] != F.col("q.pid")) & (apart(w) <= F.least(longest, F.lit(float(radius)))))
+    return pairs.filter(~seen).select(F.col("own.pid").alias("u"), F.col("q.pid").alias("v"), F.col("q.d").alias("d"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkstrata.operators import complexes
 from sparkstrata.operators import points as P
-from sparkstrata.plans import registry
+from sparkstrata.plans import registry, tables
 
 DENSE, POINTS = "/root/testdata/sf0.1", 2000
 
@@ -68,8 +68,6 @@ def test_boundary_squared_deals_out_points_only(spark):
 
 
 def test_boundary_squared_sees_every_triangle(spark):
-    from sparkstrata.plans import tables
-
     pts = tables.points(spark, DENSE)
     got = complexes.rips_boundary_squared(pts, tables.TRIANGLE_RADIUS)
     want = complexes.triangles(P.radius_edges(pts, tables.TRIANGLE_RADIUS))
@@ -80,3 +78,15 @@ def test_boundary_squared_sees_every_triangle(spark):
 @pytest.mark.parametrize("kind", ["distinct", "repeated"])
 def test_boundary_squared_of_odd_points(spark, odd, kind):
     same(spark, "boundary_squared", odd[kind])
+
+
+def test_dominated_edges_deals_out_points_only(spark):
+    columns, rows, moved = run(spark, "dominated_edges")
+    pts = tables.points(spark, DENSE)
+    want = P.without_dominated(P.radius_edges(pts, tables.TRIANGLE_RADIUS)).select("u", "v").collect()
+    assert sorted((r.u, r.v) for r in rows) == sorted((r.u, r.v) for r in want) and moved < 40 * POINTS
+
+
+@pytest.mark.parametrize("kind", ["distinct", "repeated"])
+def test_dominated_edges_of_odd_points(spark, odd, kind):
+    same(spark, "dominated_edges", odd[kind])
