@@ -90,3 +90,14 @@ def test_dominated_edges_deals_out_points_only(spark):
 @pytest.mark.parametrize("kind", ["distinct", "repeated"])
 def test_dominated_edges_of_odd_points(spark, odd, kind):
     same(spark, "dominated_edges", odd[kind])
+
+
+def test_triangles_deal_out_points_only(spark):
+    columns, rows, moved = run(spark, "triangles")
+    names, want = sql("triangles")
+    assert sorted(tuple(r[c] for c in "abc") for r in rows) == sorted(r[:3] for r in want) and moved < 40 * POINTS
+
+
+@pytest.mark.parametrize("kind", ["distinct", "repeated"])
+def test_triangles_of_odd_points(spark, odd, kind):
+    assert same(spark, "triangles", odd[kind])
