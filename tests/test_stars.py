@@ -101,3 +101,14 @@ def test_triangles_deal_out_points_only(spark):
 @pytest.mark.parametrize("kind", ["distinct", "repeated"])
 def test_triangles_of_odd_points(spark, odd, kind):
     assert same(spark, "triangles", odd[kind])
+
+
+def test_boundary_faces_deal_out_points_only(spark):
+    columns, rows, moved = run(spark, "boundary_faces")
+    names, want = sql("boundary_faces")
+    assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(want) and moved < 80 * POINTS
+
+
+@pytest.mark.parametrize("kind", ["distinct", "repeated"])
+def test_boundary_faces_of_odd_points(spark, odd, kind):
+    assert same(spark, "boundary_faces", odd[kind])
