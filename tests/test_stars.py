@@ -112,3 +112,13 @@ def test_boundary_faces_deal_out_points_only(spark):
 @pytest.mark.parametrize("kind", ["distinct", "repeated"])
 def test_boundary_faces_of_odd_points(spark, odd, kind):
     assert same(spark, "boundary_faces", odd[kind])
+
+
+def test_cell_counts_deal_out_points_only(spark):
+    columns, rows, moved = run(spark, "cell_counts")
+    assert sorted(tuple(r) for r in rows) == sorted(sql("cell_counts")[1]) and moved < 80 * POINTS
+
+
+@pytest.mark.parametrize("kind", ["distinct", "repeated"])
+def test_cell_counts_of_odd_points(spark, odd, kind):
+    assert same(spark, "cell_counts", odd[kind])
