@@ -122,3 +122,13 @@ def test_cell_counts_deal_out_points_only(spark):
 @pytest.mark.parametrize("kind", ["distinct", "repeated"])
 def test_cell_counts_of_odd_points(spark, odd, kind):
     assert same(spark, "cell_counts", odd[kind])
+
+
+def test_cliques_deal_out_points_only(spark):
+    columns, rows, moved = run(spark, "cliques")
+    assert sorted(r.verts for r in rows) == sorted(r[0] for r in sql("cliques")[1]) and moved < 40 * POINTS
+
+
+@pytest.mark.parametrize("kind", ["distinct", "repeated"])
+def test_cliques_of_odd_points(spark, odd, kind):
+    assert same(spark, "cliques", odd[kind])
