@@ -233,7 +233,7 @@ def cells(members: DataFrame) -> DataFrame:
         F.when(alone, parts(F.col("big.m"), F.col("big.w"))).otherwise(0).alias("own"),
         F.when(alone, parts(F.col("m") - F.col("big.m"), F.col("w") - F.col("big.w"))).otherwise(parts(F.col("m"), F.col("w"))).alias("rest"),
     )
-    rows = members.join(written(keys, "open-buckets"), "key")
+    rows = members.join(written(keys, "open-buckets", members.count()), "key")
     place = F.xxhash64("node", "key")
     x = F.when(F.col("root").eqNullSafe(F.col("big")), F.pmod(place, F.col("own"))).otherwise(F.col("own") + F.pmod(place, F.col("rest"))).cast("int")
     rows = rows.withColumn("x", x)
@@ -341,8 +341,8 @@ def _wanted_bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(_bodies(docs, sieve_of(wanted)).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bodies")
 
 
-def _head_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """``a, b``: verified links between the members of buckets and their heads."""
+def _head_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame) -> tuple[DataFrame, int]:
+    """(``a, b``: verified links between the members of buckets and their heads, the number of candidates)."""
     met = rows.join(heads, "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).filter(F.col("a") != F.col("b"))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -353,7 +353,7 @@ def _head_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataF
     near = written(near.filter(agree >= _least_agreement()).select("a", "b"), "near")
     one = _wanted_bodies(docs, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
     pairs = near.join(one.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), near.count()
 
 
 def _other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
@@ -365,15 +365,19 @@ def _other_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, heads: Data
     return by_cell(left.join(one, "node").select("key", "i", "j", "root", "right", "body")).mapInArrow(cell_verifier(_bag, SIMILARITY), "a long, b long").distinct()
 
 
-def buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``node, key`` rows of the buckets of several members, ``key, heads``: the member that meets most, and one drawn)."""
-    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "full")
+def buckets(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``node, key`` rows of the buckets of several members, ``key, heads``: the member that meets most, and one drawn).
+
+    ``most``: about so many ``rows`` at most, if known.
+    """
+    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "full", most)
+    many = full.count()
     rows = written(rows.join(full, "key"), "buckets")
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
     rows = written(rows.select("node", "key").join(degree, "node"), "degrees")
     place = F.xxhash64("node", "key")
     heads = rows.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.min(F.struct(place.alias("place"), "node")).alias("any"))
-    return rows, written(heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads")), "bucket-heads")
+    return rows, written(heads.select("key", F.array_distinct(F.array("hub.node", "any.node")).alias("heads")), "bucket-heads", many)
 
 
 def joined_roots(first: DataFrame, links: DataFrame) -> DataFrame:
@@ -393,8 +397,9 @@ def open_cells(nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataF
 def roots_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """``node, root``: components of the links between all nodes that share a band, for every node but roots."""
     nodes = written(signed.filter(F.col("n") > 0).select("node", "n", "bands", "sketch").dropDuplicates(["node"]), "nodes")
-    rows, heads = buckets(nodes.select("node", F.explode("bands").alias("key")))
-    first = components(_head_links(docs, nodes, rows, heads))
+    rows, heads = buckets(nodes.select("node", F.explode("bands").alias("key")), nodes.count() * BANDS)
+    links, most = _head_links(docs, nodes, rows, heads)
+    first = components(links, rows=most)
     return joined_roots(first, _other_links(docs, nodes, rows, heads, first))
 
 
@@ -407,7 +412,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = signed.select("doc_id", "mark", "node", "check").join(roots, "node", "left").join(shared, "node", "left")
     other = F.coalesce(F.when(F.col("check") != F.col("least"), F.col("check")), F.lit(0)).alias("other")
     rows = rows.select("doc_id", "mark", F.coalesce("root", "node").alias("root"), other)
-    heads = written(rows.groupBy("root", "other").agg(F.min(F.struct("doc_id", "mark")).alias("head")), "heads")  # a table of its own: AQE can split the join with a hot root
+    heads = written(rows.groupBy("root", "other").agg(F.min(F.struct("doc_id", "mark")).alias("head")), "heads", signed.count())  # a table of its own: AQE can split the join with a hot root
     return rows.join(heads, ["root", "other"]).select("doc_id", "mark", "head")
 
 

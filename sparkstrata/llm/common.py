@@ -26,9 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut and no executor's disk is needed later."""
+#: Rows of a few numbers that one task writes at least, where a table's size is known; tasks for the smallest table.
+ROWS_PER_FILE, LEAST_FILES = 50_000, 8
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage is cut and no executor's disk is needed later.
+
+    ``rows``: about so many are expected at most, so a small table isn't dealt to as many files as there are shuffle
+    partitions. Without Hadoop's native library a local file costs three forks of the executor (chmod of folder, file
+    and checksum). Only the last stage gets fewer tasks, so it has to be one of sums or distinct rows.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,33 +19,34 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, rows: int) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    least = written(least, "least")
+    least = written(least, "least", rows)
     return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least", rows)
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """``node, root`` for every node of an edge but the roots themselves; a root is its component's least node.
 
-    Self loops and repeated edges may occur. No edges give an empty result.
+    Self loops and repeated edges may occur. No edges give an empty result. ``rows``: about so many edges at most, if known.
     """
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows)
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
     seen = mark(now)
     for _ in range(MAX_ROUNDS if seen[0] else 0):
-        now = written(_small(_large(now)), "edges")
+        rows = 2 * seen[0]  # of each table that a round writes, at most
+        now = written(_small(_large(now, rows), rows), "edges", rows)
         then = mark(now)
         if then == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

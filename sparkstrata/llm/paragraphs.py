@@ -208,12 +208,12 @@ def _set(body: bytes) -> np.ndarray:
     return np.unique(shingles(np.frombuffer(body, np.uint32), SHINGLE))
 
 
-def _head_links(one: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """``a, b``: verified links between paragraphs and the heads of their buckets."""
+def _head_links(one: DataFrame, rows: DataFrame, heads: DataFrame) -> tuple[DataFrame, int]:
+    """(``a, b``: verified links between paragraphs and the heads of their buckets, the number of candidates)."""
     met = rows.join(heads, "key").select(F.col("node").alias("a"), F.explode("heads").alias("b")).filter(F.col("a") != F.col("b"))
-    near = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    near = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near", 2 * rows.count())
     pairs = near.join(one.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), near.count()
 
 
 def _other_links(one: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
@@ -225,10 +225,11 @@ def _other_links(one: DataFrame, nodes: DataFrame, rows: DataFrame, heads: DataF
 def roots_of(docs: DataFrame, units: DataFrame) -> DataFrame:
     """``node, root``: components of the links between different paragraphs, for every node but roots."""
     nodes = written(units.filter(F.size("bands") > 0).select("node", "bands").dropDuplicates(["node"]), "nodes")
-    rows, heads = buckets(nodes.select("node", F.explode("bands").alias("key")))
+    rows, heads = buckets(nodes.select("node", F.explode("bands").alias("key")), nodes.count() * BANDS)
     wanted = rows.select("node").distinct()
     one = written(_bodies(docs, sieve_of(wanted)).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "bodies")
-    first = components(_head_links(one, rows, heads))
+    links, most = _head_links(one, rows, heads)
+    first = components(links, rows=most)
     sizes = one.select("node", (F.octet_length("body") / 4).cast("long").alias("n"))
     return joined_roots(first, _other_links(one, sizes, rows, heads, first))
 
@@ -237,17 +238,18 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     """``doc_id, kind, start, end, n_words, class_id, keep, text_hash``: every repeated paragraph and passage, in code points."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).withColumn("mark", F.xxhash64("body"))
     units = written(_units(narrow), "units")
+    n_units = units.count()
     lines, parts = units.filter("not piece"), units.filter("piece")
     roots = roots_of(narrow, units)
     rows = lines.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct("doc_id", "mark", "start")
     heads = rows.groupBy("root").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
-    heads = written(heads.filter(~F.col("head").eqNullSafe(F.col("tail"))).select("root", "head"), "heads")  # a table of its own: AQE can split the join with a hot root
+    heads = written(heads.filter(~F.col("head").eqNullSafe(F.col("tail"))).select("root", "head"), "heads", n_units)  # a table of its own: AQE can split the join with a hot root
     kept = place.eqNullSafe(F.col("head"))
     paragraphs = rows.join(heads, "root").select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("words").alias("n_words"), F.col("head.doc_id").alias("class_id"), kept.alias("keep"), F.col("mark").alias("text_hash"))
     who = F.struct("doc_id", "mark")
     owners = parts.groupBy("node").agg(F.min(who).alias("owner"), F.max(who).alias("last")).filter(~F.col("owner").eqNullSafe(F.col("last"))).select("node", "owner")
-    owners = written(owners, "owners")
+    owners = written(owners, "owners", n_units)
     met = parts.join(owners, "node").select("doc_id", "mark", "start", "end", "words", "owner").distinct()
     order = Window.partitionBy("doc_id", "mark").orderBy("start", "end")
     gap, before = F.lag("end").over(order), F.lag("owner").over(order)
