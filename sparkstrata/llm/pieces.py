@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bound of the compiled tables' size that may be broadcast; a vocabulary is fixed, it doesn't grow with the data.
 MAX_MODEL_BYTES = 64_000_000
-CACHE_CHUNKS = 300_000
+#: Chunks of one generation; a worker keeps two, some 140 bytes a chunk.
+CACHE_CHUNKS = 200_000
+#: Answers of the restriction that a worker keeps.
+CACHE_PAIRS = 300_000
 CACHE_CHARS = 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
@@ -100,13 +104,14 @@ class Transducer:
         # A chunk may also end between a letter and a sign that follows no letter in any piece.
         met = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if p[i].isalpha()}
         signs = "".join(re.escape(c) for c in ".,;:!?#$%&*|" if c not in met)
-        word = f"{MARK}*[^\\W\\d_]+(?=[{signs}])|" if signs else ""
-        self.chunk = re.compile(f"\n|{word}{MARK}+[^{MARK}\n]*|[^{MARK}\n]+") if self.cuts else re.compile("(?s).+")
+        # Chunks are taken before spaces become marks, when most texts have one byte a character, and so have the cache's keys.
+        word = f"[ {MARK}]*[^\\W\\d_]+(?=[{signs}])|" if signs else ""
+        self.chunk = re.compile(f"\n|{word}[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+") if self.cuts else re.compile("(?s).+")
         self.tied = {c for p, k in Counter(self.scores[i] for i in self.ids.values()).items() if k > 1 for q, i in self.ids.items() if self.scores[i] == p for c in q} if self.bpe else set()
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.weights = [-x for x in self.scores]
         self.root = self._compile()
         self.out = [self._surface(i) for i in range(len(self.pieces))]
@@ -118,9 +123,9 @@ class Transducer:
             return b" \xe2\x81\x87 "
         return b"" if self.kinds[i] == _CONTROL else self.pieces[i].replace(MARK, " ").encode()
 
-    def normalise(self, text: str) -> str:
-        """The first machine: spaces to marks, one mark in front of non-empty text."""
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+    def chunks(self, text: str) -> list[str]:
+        """The first machine's first half: a space in front of non-empty text, cut into chunks. Spaces become marks in each."""
+        return self.chunk.findall(" " + text if self.prefix and text else text)
 
     def _merge(self, text: str) -> list[tuple[str, str, str]]:
         """Best-scored, leftmost merges of neighbouring symbols, from characters on: (symbol, its left, its right)."""
@@ -150,7 +155,7 @@ class Transducer:
 
     def follows(self, a: str, b: str, key: int) -> bool:
         """The bigram restriction, kept by ``key``: merging the characters of both gives back these two."""
-        if len(self.pairs) > CACHE_CHUNKS:
+        if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
         got = self.pairs[key] = self._separate(a, b)
         return got
@@ -238,24 +243,28 @@ class Transducer:
             else:
                 yield self.unknown
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def codes(self, text: str | None) -> bytes:
+        """Piece ids, four bytes each in the machine's order. Ids are kept and joined as bytes: half of what tuples take."""
+        out: list[bytes] = []
         young, old = self.young, self.old
-        for chunk in self.chunk.findall(self.normalise(text or "")):
+        for chunk in self.chunks(text or ""):
             ids = young.get(chunk)
             if ids is None:
                 ids = old.get(chunk)
                 if ids is None:
-                    ids = tuple(self._write(self.shortest_path(chunk)))
+                    ids = array("i", self._write(self.shortest_path(chunk.replace(" ", MARK)))).tobytes()
                 if len(chunk) <= CACHE_CHARS:
                     if len(young) >= CACHE_CHUNKS:  # what wasn't met for a whole generation goes
                         old = self.old = young
                         young = self.young = {}
                     young[chunk] = ids
-            out.extend(ids)
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.codes(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The inverse: surfaces joined, bytes read as UTF-8, the mark in front dropped."""
         out = self.out
         text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
@@ -289,11 +298,11 @@ def encoded(docs: DataFrame, *, text: str = "text", columns: tuple[str, ...] = (
         own = compiled(sent.value)
         for b in slices(batches, 256):
             texts = b.column("__body").to_pylist()
-            ids = [own.encode(t) for t in texts]
-            same = [own.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            codes = [own.codes(t) for t in texts]
+            same = [own.decode(array("i", c)) == t.replace(MARK, " ") for c, t in zip(codes, texts, strict=True)]
+            sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            flat = np.fromiter((x for row in ids for x in row), np.int32, int(ends[-1]))
+            flat = np.frombuffer(b"".join(codes), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sizes), lists, pa.array(same, pa.bool_())], [*columns, "n_tokens", "ids", "round_trip"])
 
