@@ -49,7 +49,7 @@ def test_dominated_edges_are_no_rows(spark, tmp_path):
     assert 0 < rows < 400 * 27 and 0 < most <= 400 * 27  # of 79,800 edges
 
 
-@pytest.mark.parametrize("name", ["triangles", "boundary_faces"])
+@pytest.mark.parametrize("name", ["triangles", "boundary_faces", "cliques"])
 def test_only_points_and_results_are_rows(spark, name):
     rows, most = rows_and_most(spark, name)
     assert 0 < most <= max(27 * POINTS, rows)
